@@ -1,0 +1 @@
+"""Reserved: graph construction is a batch computation over a finite vector table, so nothing streams."""
