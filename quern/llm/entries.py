@@ -2,17 +2,34 @@
 
 from __future__ import annotations
 
-from quern.llm import exact_search, line_dedup, mixing, permutation_index, url_filters
+from quern.llm import (
+    exact_search,
+    line_dedup,
+    mixing,
+    packing,
+    parity_join,
+    permutation_index,
+    quality,
+    substring_dedup,
+    toxicity,
+    url_filters,
+)
 
 QUERIES = {
     "op1_permutation_index": permutation_index.op1_permutation_index,
+    "op2_toxicity": toxicity.op2_toxicity,
+    "op3_parity_join": parity_join.op3_parity_join,
+    "op4_packing": packing.op4_packing,
     "op5_exact_top_k": exact_search.op5_exact_top_k,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_mixing": mixing.op7_mixing,
+    "op8_quality": quality.op8_quality,
     "op9_url_filters": url_filters.op9_url_filters,
+    "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 
 SQL = {
+    "op3_parity_join": parity_join.SQL,
     "op5_exact_top_k": exact_search.SQL,
     "op6_line_dedup": line_dedup.SQL,
     "op7_mixing": mixing.SQL,
