@@ -1,0 +1,56 @@
+"""The fvecs format: records of a little-endian int32 dimension and as many float32 values."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def read_fvecs(spark: SparkSession, path: str, n: int | None = None) -> DataFrame:
+    """id, vec of a file or a folder of files; ids follow the records, file after file by path.
+
+    A cut-off last record is left out; a missing path raises FileNotFoundError. n: only the first so many records,
+    which is the reader's own limit. A file is one task, so large sets come as many files.
+    """
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath):
+        raise FileNotFoundError(path)
+    files = spark.read.format("binaryFile").load(path)
+    sizes = sorted((r.path, r.length) for r in files.select("path", "length").collect())  # a row a file
+    heads = {r.path: int(np.frombuffer(bytes(r.head), "<i4")[0]) for r in files.select("path", F.substring("content", 1, 4).alias("head")).collect() if len(r.head) == 4}
+    first, starts = 0, {}
+    for name, length in sizes:
+        starts[name] = first
+        first += length // (4 + 4 * heads[name]) if name in heads else 0
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if name not in heads:
+                    continue
+                dim = heads[name]
+                rows = len(content) // (4 + 4 * dim)
+                x = np.frombuffer(content, "<f4", rows * (dim + 1)).reshape(rows, dim + 1)[:, 1:]
+                for low in range(0, rows, 10_000):
+                    part = x[low : low + 10_000].astype(np.float64)
+                    vec = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1, dtype=np.int32) * dim), pa.array(part.ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array(starts[name] + low + np.arange(len(part))), vec], ["id", "vec"])
+
+    points = files.select("path", "content").mapInArrow(work, "id bigint, vec array<double>")
+    return points if n is None else points.where(F.col("id") < n)
+
+
+def load_points(spark: SparkSession, fvecs: str, cache: str, n: int | None = None) -> DataFrame:
+    """The fvecs file, else the Parquet cache (id, vec), else FileNotFoundError."""
+    try:
+        return read_fvecs(spark, fvecs, n)
+    except FileNotFoundError:
+        jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache)
+        if not jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath):
+            raise
+        points = spark.read.parquet(cache)
+        return points if n is None else points.where(F.col("id") < n)
