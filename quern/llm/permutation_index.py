@@ -29,31 +29,36 @@ from quern.llm import vectors
 from quern.session import materialize
 
 K, EVERY = 20, 20
-PIVOTS, INDEXED, ASKED = 256, 128, 32
+PIVOTS, INDEXED, ASKED = 256, 128, 64
 RERANK, LEAST = 0.2, 512
 SEGMENT, BLOCK = 16_384, 1_024
 SCHEMA = "query_id long, vec_id long, score double"
 
 
-def nearest_pivots(rows: np.ndarray, pivots: np.ndarray, longest: float, keep: int) -> np.ndarray:
-    """Each row's order of its nearest pivots, by the angle between rows and pivots of equal length."""
-    lift = lambda x: np.sqrt(np.maximum(0, 1 - (x * x).sum(1) / longest**2))
-    near = rows @ pivots.T / longest**2 + np.outer(lift(rows), lift(pivots))
+def nearest_pivots(rows: np.ndarray, pivots: np.ndarray, longest: float, keep: int, asked: bool) -> np.ndarray:
+    """Each row's order of its nearest pivots, by the angle between vectors of equal length; asked: the rows are queries."""
+    near = rows @ pivots.T / longest**2
+    if not asked:  # a query's last component is 0
+        lift = lambda x: np.sqrt(np.maximum(0, 1 - (x * x).sum(1) / longest**2))
+        near += np.outer(lift(rows), lift(pivots))
     return np.argsort(-near, axis=1, kind="stable")[:, :keep].astype(np.int16)
 
 
-def pivot_table(rows: DataFrame, dim: int, count: int) -> np.ndarray:
-    """The pivots: at most count rows of this length, by the smallest hash of the vector. This is all that is sampled."""
-    found = rows.where(F.size("v") == dim).select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(count).collect()
-    return np.array([r.v for r in found], dtype=np.float64).reshape(len(found), dim)
+def fit(rows: DataFrame, count: int = PIVOTS) -> dict[int, tuple[np.ndarray, float]]:
+    """For each vector length at most count pivots, those with the smallest hash, and the longest row's norm.
 
-
-def index_rows(rows: DataFrame, count: int = PIVOTS, keep: int = INDEXED) -> DataFrame:
-    """id, v, perm for every row (id, v): the index table that search() reads."""
-    pivots = {}
+    The pivots are all that is sampled.
+    """
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda m, x: m + x * x))
+    out = {}
     for r in rows.groupBy(F.size("v").alias("dim")).agg(F.max(norm).alias("longest")).collect():  # a row a length
-        pivots[r.dim] = (pivot_table(rows, r.dim, count), r.longest)
+        found = rows.where(F.size("v") == r.dim).select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(count).collect()
+        out[r.dim] = (np.array([x.v for x in found], dtype=np.float64).reshape(len(found), r.dim), r.longest)
+    return out
+
+
+def permuted(rows: DataFrame, pivots: dict, keep: int = INDEXED, asked: bool = False) -> DataFrame:
+    """id, v, perm for every row (id, v): the index table, or with asked the queries, that search() reads."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -61,7 +66,7 @@ def index_rows(rows: DataFrame, count: int = PIVOTS, keep: int = INDEXED) -> Dat
             sizes = np.diff(t.column("v").combine_chunks().offsets.to_numpy()) if len(t) else np.zeros(0, int)
             for dim in np.unique(sizes):
                 part = t.take(pa.array(np.flatnonzero(sizes == dim)))
-                perm = nearest_pivots(vectors.matrix(part.column("v"), np.float64), *pivots[int(dim)], keep)
+                perm = nearest_pivots(vectors.matrix(part.column("v"), np.float64), *pivots[int(dim)], keep, asked)
                 offsets = np.arange(len(part) + 1, dtype=np.int32) * perm.shape[1]
                 column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(perm.ravel()))
                 yield from part.append_column("perm", column).to_batches()
@@ -123,7 +128,7 @@ def prepared(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding
 
 def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = materialize(prepared(spark.read.parquet(f"{sf_dir}/embeddings.parquet")), "ann-rows")
-    every = materialize(index_rows(rows), "ann-index")
-    queries = every.where(F.col("id") % EVERY == 0)
-    index = materialize(vectors.first_copies(every, K), "ann-copies")
+    pivots = fit(rows)
+    index = materialize(permuted(vectors.first_copies(rows, K), pivots), "ann-index")
+    queries = materialize(permuted(rows.where(F.col("id") % EVERY == 0), pivots, asked=True), "ann-queries")
     return search(index, queries, index.count(), queries.count())
