@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -51,6 +52,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that are no longer used, before the next large step."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete everything that materialize() wrote; call it when no frame that reads it is needed any more."""
     jvm = spark.sparkContext._jvm
