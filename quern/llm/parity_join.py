@@ -8,10 +8,12 @@ document, one more than that bound are there; one of them must then be equal in
 document has too few non-empty blocks it also posts a sketch of twice as many, and so on; its partner does too,
 or has enough itself. Sketches are made per band of sizes, [2^k, 2^(k+1)), and once more across each border.
 
-Equal blocks meet in buckets. A bucket is first settled by a star: one member against all others, which is linear.
-Only members of buckets that then still hold several components are compared again, by bit sketches (each shingle
-flips one bit, so their Hamming distance also is at most the difference): first each against its nearest in each
-foreign component, then whatever is left. Every link is verified on the sets of 64-bit hashes.
+Equal blocks meet in buckets, and each bucket's members are filed under its least one, its head, so that buckets
+that share a head are one. Within a head's members bit sketches are compared (each shingle flips one bit, so their
+Hamming distance also is at most the difference), in cells of bounded size: first a star, where members that one
+before them may link with are left to it; then each member against its nearest of each other component; then
+whatever was kept back. Every link is verified on the sets of 64-bit hashes, so near copies, however many, are
+linked by about as many verified pairs as there are copies.
 
 Documents with equal sets are one class throughout, so exact copies, however many, cost one member.
 
@@ -30,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.session import materialize
+from quern.session import materialize, release
 
 WORDS = 5
 #: Linked when OF * intersection >= AT_LEAST * union.
@@ -39,8 +41,8 @@ AT_LEAST, OF = 75, 100
 BLOCKS = 0.37
 #: Posted blocks in a bucket table's part, and in a task's memory before they leave it.
 PART, FLUSH = 400_000, 2_000_000
-#: Members of one comparison cell.
-CELL = 4_096
+#: Members of one chunk of a comparison cell, and of a group to verify, about.
+CELL, MEMBERS = 2_048, 256
 #: Classes to look up that are broadcast (32 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 300_000
 _A, _B, _P = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0x5851F42D4C957F2D)
@@ -53,27 +55,54 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U32)
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+_SEED = np.random.default_rng(23)
+#: A random odd code for every byte; capital A-Z share the small letters'.
+_CODE = _SEED.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_CODE[65:91] = _CODE[97:123]
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
-_words = _Words()
+class _Powers:
+    """Powers of _P and of its inverse modulo 2^64, as far as texts have needed them."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            n = 1 << (n - 1).bit_length()
+            grow = lambda x: np.cumprod(np.r_[np.uint64(1), np.full(n - 1, x, np.uint64)])
+            self.up, self.down = grow(_P), grow(np.uint64(pow(int(_P), -1, 2**64)))
+        return self.up, self.down
+
+
+_powers = _Powers()
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """64-bit hashes of the words, that is runs of other than ASCII blanks, lower-cased in A-Z."""
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    blank = np.r_[True, _BLANK[raw], True]
+    edge = np.flatnonzero(blank[1:] != blank[:-1])
+    first, after = edge[::2], edge[1::2]
+    if not len(first):
+        return np.zeros(0, np.uint64)
+    up, down = _powers(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_CODE[raw] * up[: len(raw)], out=sums[1:])
+    return _mixed((sums[after] - sums[first]) * down[first])
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """Ascending distinct 64-bit hashes of the word shingles."""
-    own = text.encode("utf-8", "surrogatepass").lower().split() if text else []  # bytes: only A-Z and ASCII blanks
-    if not own:
-        return np.zeros(0, np.uint64)
-    w = np.fromiter(map(_words.__getitem__, own), np.uint64, len(own))
-    if len(w) < words:
+    w = word_hashes(text) if text else np.zeros(0, np.uint64)
+    if not len(w):
+        return w
+    if len(w) < words:  # the whole sequence, with its length
         h = np.array([len(w)], np.uint64) * _B
-        for x in w:
-            h = h * _P + x
+        for i in range(len(w)):
+            h = h * _P + w[i : i + 1]
     else:
         h = w[: len(w) - words + 1].copy()
         for i in range(1, words):
@@ -109,7 +138,7 @@ def posted_blocks(own: np.ndarray) -> np.ndarray:
             at = (own >> _U32) * np.uint64(blocks) >> _U32  # ascending, as the hashes are
             starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
             block = np.bitwise_xor.reduceat(codes, starts)
-            name = np.uint64(plan * 64 + level) * _B + at[starts] * _A
+            name = np.array([plan * 64 + level], np.uint64) * _B + at[starts] * _A
             out.append(_mixed(block ^ _mixed(name)))
             if len(starts) > _most(n, max(n, partner)):
                 break
@@ -175,7 +204,7 @@ def post(docs: DataFrame, parts: int) -> DataFrame:
 
 
 def _buckets(cell: pa.Table) -> pa.Table:
-    """The distinct sets of two or more tags that share a block, in one part of the bucket table."""
+    """head, tag: each bucket's least tag beside every tag of the bucket, in one part of the bucket table."""
 
     def wide(column: str) -> np.ndarray:
         raw = np.frombuffer(b"".join(cell.column(column).to_pylist()), np.uint8).reshape(-1, 5)
@@ -183,20 +212,24 @@ def _buckets(cell: pa.Table) -> pa.Table:
         out[:, :5] = raw
         return out.view(np.uint64).ravel()
 
-    name, tag = wide("names"), wide("tags")
+    name, tag = wide("names"), wide("tags").astype(np.int64)
     order = np.lexsort((tag, name))
     name, tag = name[order], tag[order]
-    fresh = np.r_[True, (name[1:] != name[:-1]) | (tag[1:] != tag[:-1])] if len(name) else np.zeros(0, bool)
-    name, tag = name[fresh], tag[fresh].astype(np.int64)
-    starts = np.flatnonzero(np.r_[True, name[1:] != name[:-1]]) if len(name) else np.zeros(0, int)
+    fresh = np.ones(len(name), bool)
+    fresh[1:] = (name[1:] != name[:-1]) | (tag[1:] != tag[:-1])
+    name, tag = name[fresh], tag[fresh]
+    first = np.ones(len(name), bool)
+    first[1:] = name[1:] != name[:-1]
+    starts = np.flatnonzero(first)
     size = np.diff(np.r_[starts, len(name)])
-    many = size > 1
-    seen = {tag[s : s + n].tobytes() for s, n in zip(starts[many].tolist(), size[many].tolist())}
-    return pa.table({"members": pa.array([np.frombuffer(x, np.int64) for x in seen], pa.list_(pa.int64()))})
+    head = np.repeat(tag[starts], size)
+    many = np.repeat(size > 1, size)
+    pairs = np.unique(np.stack([head[many], tag[many]]), axis=1)
+    return pa.table({"head": pairs[0], "tag": pairs[1]})
 
 
-def lookup(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cls, n, own (packed hashes), bits (sketch) of the wanted classes (cls, first_id), from one document each."""
+def lookup(docs: DataFrame, wanted: DataFrame, sketch: bool) -> DataFrame:
+    """cls, n, data of the wanted classes (cls, first_id), from one document each: the bit sketch, or the packed hashes."""
     wanted = wanted.select(F.col("cls").alias("_c"), F.col("first_id").alias("_first"))
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted.hint("shuffle_hash")
 
@@ -207,31 +240,42 @@ def lookup(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 for text, cls in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     own = shingles(text)
                     if class_of(own) == cls:  # an id may have other texts
-                        rows.append((cls, len(own), own.tobytes(), bit_sketch(own)))
+                        rows.append((cls, len(own), bit_sketch(own) if sketch else own.tobytes()))
                 if rows:
-                    kinds = (pa.binary(), pa.int64(), pa.binary(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["cls", "n", "own", "bits"])
+                    kinds = (pa.binary(), pa.int64(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["cls", "n", "data"])
 
     near = docs.join(wanted, F.col("doc_id") == F.col("_first")).select("text", "_c")
-    return near.mapInArrow(work, "cls binary, n long, own binary, bits binary")
-
-
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that link."""
-    left = sets.select(F.col("cls").alias("a"), F.col("own").alias("own_a"))
-    right = sets.select(F.col("cls").alias("b"), F.col("own").alias("own_b"))
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.sort(np.concatenate([x, y]), kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(OF * shared >= AT_LEAST * (len(x) + len(y) - shared))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "own_a", "own_b").mapInArrow(work, "a binary, b binary")
+    return near.mapInArrow(work, "cls binary, n long, data binary")
+
+
+def _linked(cell: pa.Table) -> pa.Table:
+    """The members of one group that link with its head; the head's row has no b."""
+    data, b = cell.column("data").to_pylist(), cell.column("b").to_pylist()
+    sets = [np.frombuffer(x, np.uint64) for x in data]
+    keep = []
+    head = next((s for s, x in zip(sets, b) if x is None), None)
+    for own, x in zip(sets, b):
+        if x is not None and head is not None:
+            both = np.sort(np.concatenate([head, own]), kind="stable")
+            shared = int((both[1:] == both[:-1]).sum())
+            if OF * shared >= AT_LEAST * (len(head) + len(own) - shared):
+                keep.append(x)
+    keep = sorted(set(keep))
+    return pa.table({"a": pa.array([cell.column("a")[0].as_py()] * len(keep), pa.binary()), "b": pa.array(keep, pa.binary())})
+
+
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that link, by their sets. A group is one a with at most about MEMBERS of its b."""
+    pairs = materialize(pairs, "pairs")
+    nodes = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    sets = materialize(lookup(docs, nodes.join(classes, "cls"), sketch=False), "sets").select("cls", "data")
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("parts"))
+    own = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
+    members = own.join(sets, F.col("b") == F.col("cls")).select("a", "part", "b", "data")
+    heads = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    heads = heads.join(sets, F.col("a") == F.col("cls")).select("a", "part", F.lit(None).cast("binary").alias("b"), "data")
+    return members.unionByName(heads).groupBy("a", "part").applyInArrow(_linked, "a binary, b binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -262,53 +306,73 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def _folded(bits: list[bytes]) -> np.ndarray:
-    """Sketches as rows of 64-bit words, longer ones folded to the shortest."""
-    rows = [np.unpackbits(np.frombuffer(b, np.uint8)) for b in bits]
-    least = min(map(len, rows))
-    for i, r in enumerate(rows):
-        while len(r) > least:
-            r = r[0::2] ^ r[1::2]
-        rows[i] = np.packbits(r)
-    return np.ascontiguousarray(np.stack(rows)).view(np.uint64)
+def _levels(bits: list[bytes]) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """Length of each sketch, and for each length the sketches that are as long or longer, folded to it, as 64-bit words.
 
-
-def _compared(nearest: bool):
-    """Pairs of one cell that are in different components and whose sketches allow a link.
-
-    nearest: for each member only the nearest of each foreign component.
+    Folding adds up neighbouring bits modulo 2, which gives the sketch of half the length.
+    """
+    size = np.array([8 * len(b) for b in bits])
+    out = {}
+    for level in sorted(set(size.tolist())):
+        words = np.zeros((len(bits), level // 64), np.uint64)
+        for i in np.flatnonzero(size >= level):
+            r = np.unpackbits(np.frombuffer(bits[i], np.uint8))
+            while len(r) > level:
+                r = r[0::2] ^ r[1::2]
+            words[i] = np.packbits(r).view(np.uint64)
+        out[level] = words
+    return size, out
+
+
+def _compared(mode: str):
+    """a, b of pairs of one cell whose sketches allow a link and whose components differ; rest: pairs kept back.
+
+    star: each member that no earlier member took takes all that may link with it, so there are fewer pairs than members.
+    nearest: each member with its nearest of each other component. all: every pair.
     """
 
     def work(cell: pa.Table) -> pa.Table:
         cls, label = cell.column("cls").to_pylist(), np.unique(cell.column("label").to_pylist(), return_inverse=True)[1]
         n, side = cell.column("n").to_numpy(), cell.column("side").to_numpy()
-        words = _folded(cell.column("bits").to_pylist())
-        out = []
-        for i in np.flatnonzero(side <= 0):
-            other = np.flatnonzero((label != label[i]) & (side >= 0))
-            lo, hi = np.minimum(n[other], n[i]), np.maximum(n[other], n[i])
-            other = other[OF * lo >= AT_LEAST * hi]
-            apart = np.bitwise_count(words[other] ^ words[i]).sum(axis=1, dtype=np.int64)
+        size, words = _levels(cell.column("data").to_pylist())
+        free, out, rest = np.ones(len(cls), bool), set(), 0
+        for i in np.lexsort((cls, size)) if mode == "star" else range(len(cls)):
+            if mode == "star" and not free[i]:
+                continue
+            other = (label != label[i]) & (size >= size[i]) & (side * side[i] <= 0)
+            if mode == "star":
+                other &= free
+            other &= (OF * n >= AT_LEAST * n[i]) & (OF * n[i] >= AT_LEAST * n)
+            other = np.flatnonzero(other)
+            if not len(other):
+                continue
+            own = words[int(size[i])]
+            apart = np.bitwise_count(own[other] ^ own[i]).sum(axis=1, dtype=np.int64)
             slack = (n[other] + n[i]) * (OF - AT_LEAST) // (OF + AT_LEAST) - apart
             other, slack = other[slack >= 0], slack[slack >= 0]
-            if nearest and len(other):
+            if mode == "star":
+                free[other] = False
+            elif mode == "nearest" and len(other):
                 order = np.lexsort((-slack, label[other]))
-                other = other[order][np.r_[True, np.diff(label[other[order]]) != 0]]
-            out += [(min(cls[i], cls[j]), max(cls[i], cls[j])) for j in other]
-        out = sorted(set(out))
-        return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([x for _, x in out], pa.binary())})
+                near = other[order][np.r_[True, np.diff(label[other[order]]) != 0]]
+                rest += len(other) - len(near)
+                other = near
+            out |= {(min(cls[i], cls[j]), max(cls[i], cls[j])) for j in other}
+        pairs = sorted(out)
+        a, b = [x for x, _ in pairs], [x for _, x in pairs]
+        return pa.table({"a": pa.array([*a, None], pa.binary()), "b": pa.array([*b, None], pa.binary()), "rest": pa.array([0] * len(a) + [rest], pa.int64())})
 
     return work
 
 
 def _cells(members: DataFrame) -> DataFrame:
-    """members: bucket, cls, label. Deals each bucket's members to cells of bounded size, one for each two chunks."""
-    size = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"))
-    own = members.join(size, "bucket").withColumn("chunks", F.ceil(F.col("m") / CELL).cast("int"))
-    own = own.withColumn("c", F.pmod(F.xxhash64("cls", "bucket"), F.col("chunks")).cast("int"))
+    """members: head, cls, label. Deals each head's members to cells of bounded size, one for each two chunks."""
+    size = members.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("chunks"))
+    own = members.join(size, "head")
+    own = own.withColumn("c", F.pmod(F.xxhash64("cls", "head"), F.col("chunks")).cast("int"))
     own = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     return own.select(
-        "bucket", F.least("c", "o").alias("x"), F.greatest("c", "o").alias("y"), "cls", "label",
+        "head", F.least("c", "o").alias("x"), F.greatest("c", "o").alias("y"), "cls", "label",
         F.when(F.col("c") == F.col("o"), 0).when(F.col("c") < F.col("o"), -1).otherwise(1).alias("side"),
     )
 
@@ -317,35 +381,34 @@ def near_classes(docs: DataFrame, table: DataFrame) -> DataFrame:
     """node, label of the classes that link with another; docs: doc_id, text; table: set_table(docs)."""
     total = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     posted = post(docs, parts := int(max(8, total * 3 // 4 // PART)))
-    shared = posted.repartition(parts, "part").groupBy("part").applyInArrow(_buckets, "members array<long>").distinct()
-    shared = materialize(shared.select(F.xxhash64("members").alias("bucket"), "members"), "buckets")
+    heads = posted.repartition(parts, "part").groupBy("part").applyInArrow(_buckets, "head long, tag long").distinct()
+    heads = materialize(heads, "heads")
+    release(docs.sparkSession)
     classes = table.where(F.col("cls").isNotNull() & F.col("doc_id").isNotNull()).groupBy("cls")
-    classes = classes.agg(F.min("doc_id").alias("first_id"), F.min("n").alias("n"))
+    classes = materialize(classes.agg(F.min("doc_id").alias("first_id")), "classes")
     tag = F.conv(F.concat(*[F.substring(F.hex("cls"), 2 * i + 1, 2) for i in reversed(range(5))]), 16, 10).cast("long")
-    members = shared.select("bucket", F.explode("members").alias("tag")).join(classes.withColumn("tag", tag), "tag")
-    members = materialize(members.select("bucket", "cls", "n", "first_id"), "members")
-    sets = materialize(lookup(docs, members.select("cls", "first_id").distinct()), "sets")
-    # the star: each class against the least class of its buckets
-    heads = members.groupBy("bucket").agg(F.min(F.struct("cls", "n")).alias("h"))
-    pairs = members.join(heads, "bucket").where(F.col("cls") != F.col("h.cls"))
-    fits = OF * F.least("n", "h.n") >= AT_LEAST * F.greatest("n", "h.n")
-    pairs = pairs.where(fits).groupBy(F.col("cls").alias("b")).agg(F.min("h.cls").alias("a")).select("a", "b")
-    links = materialize(verified(pairs, sets), "links")
-    tried = materialize(pairs, "tried")
-    for nearest in (True, False):
+    members = heads.join(classes.withColumn("tag", tag), "tag").select("head", "cls", "first_id")
+    members = materialize(members, "members")
+    bits = materialize(lookup(docs, members.select("cls", "first_id").distinct(), sketch=True), "sketches")
+    links = labels = None
+    for mode in ("star", "nearest", "all"):
+        if labels is None:
+            left = members.select("head", "cls", F.col("cls").alias("label"))
+        else:
+            named = members.join(labels, F.col("cls") == F.col("node"), "left")
+            named = named.select("head", "cls", F.coalesce("label", "cls").alias("label"))
+            open_ = named.groupBy("head").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+            left = named.join(open_.select("head"), "head", "left_semi")
+        cells = _cells(materialize(left, "open")).join(bits, "cls")
+        found = cells.groupBy("head", "x", "y").applyInArrow(_compared(mode), "a binary, b binary, rest long")
+        found = materialize(found, "compared")
+        new = verified(found.where(F.col("a").isNotNull()).select("a", "b").distinct(), docs, classes)
+        links = materialize(new if links is None else links.unionByName(new), "links")
+        release(docs.sparkSession)
         labels = components(links)
-        named = members.join(labels, F.col("cls") == F.col("node"), "left")
-        named = named.select("bucket", "cls", F.coalesce("label", "cls").alias("label"))
-        open_ = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-        left = materialize(named.join(open_.select("bucket"), "bucket", "left_semi"), "open")
-        if left.isEmpty():
-            return labels
-        cells = _cells(left).join(sets.select("cls", "n", "bits"), "cls")
-        pairs = cells.groupBy("bucket", "x", "y").applyInArrow(_compared(nearest), "a binary, b binary").distinct()
-        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "tried")
-        tried = tried.unionByName(pairs)
-        links = materialize(links.unionByName(verified(pairs, sets)), "links")
-    return components(links)
+        if mode == "nearest" and not found.agg(F.coalesce(F.sum("rest"), F.lit(0))).first()[0]:
+            break  # no pair was kept back
+    return labels
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
