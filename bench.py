@@ -41,10 +41,7 @@ def main() -> None:
         truth = materialize(knn_exact(points, K, N), "truth")
 
     seconds["exact_10k_d128_k20"] = timed(exact)
-    for name, s in (
-        ("optimized_10k_d128_k20", descent.Settings(k=K, rho=0.8)),
-        ("adaptive_50_10k_d128_k20", descent.Settings(k=K, rho=0.8, candidates_weighted=True, sample_rate=0.5)),
-    ):
+    for name, s in (("optimized_10k_d128_k20", descent.Settings(k=K, rho=0.8)),):
         result = None
 
         def run() -> None:
