@@ -19,6 +19,7 @@ def spark(tmp_path_factory):
         SparkSession.builder.master("local[4]").appName("tests")
         .config("spark.sql.shuffle.partitions", "3").config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false").config("spark.driver.memory", "4g")
+        .config("spark.sql.codegen.wholeStage", "false")  # small plans: compiling them takes longer than running them
         .config("spark.checkpoint.dir", f"file://{folder}").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

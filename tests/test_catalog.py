@@ -28,8 +28,8 @@ def rows(frame):
 
 @pytest.mark.parametrize(
     "name",
-    ["knn_exact_l2", "knn_exact_cosine", "pair_distance_l1", "hubness_skew", "candidate_sources", "hub_damped_weights", "net_scores",
-     "descent_naive_r2", "descent_adaptive_r3", "descent_benchmark_adaptive_r3", "recall_descent_vs_exact", "gen_clustered"],
+    ["knn_exact_l2", "knn_exact_cosine", "pair_distance_l1", "hubness_skew", "hub_damped_weights", "net_scores", "descent_naive_r2",
+     "descent_adaptive_r3", "descent_benchmark_adaptive_r3", "recall_descent_vs_exact", "gen_clustered"],
 )
 def test_query_matches_sql(spark, folder, name):
     c = duckdb.connect()
