@@ -62,7 +62,7 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_matches_all_pairs(spark, seed):
     rows = corpus(seed)
     frame = spark.createDataFrame([(i, t, 1, "c") for i, t in rows], "doc_id long, text string, n int, cls string")
