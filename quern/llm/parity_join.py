@@ -325,8 +325,9 @@ def _levels(bits: list[bytes]) -> tuple[np.ndarray, dict[int, np.ndarray]]:
 
 
 def _compared(mode: str):
-    """a, b of pairs of one cell whose sketches allow a link and whose components differ; rest: pairs kept back.
+    """head, a, b of pairs of one cell whose sketches allow a link and whose components differ.
 
+    The last row's rest tells whether more such pairs may be left, so that the head needs another comparison.
     star: each member that no earlier member took takes all that may link with it, so there are fewer pairs than members.
     nearest: each member with its nearest of each other component. all: every pair.
     """
@@ -358,9 +359,12 @@ def _compared(mode: str):
                 rest += len(other) - len(near)
                 other = near
             out |= {(min(cls[i], cls[j]), max(cls[i], cls[j])) for j in other}
+        if mode == "star":
+            rest = len(out)  # where no pair passes, all have been compared
         pairs = sorted(out)
-        a, b = [x for x, _ in pairs], [x for _, x in pairs]
-        return pa.table({"a": pa.array([*a, None], pa.binary()), "b": pa.array([*b, None], pa.binary()), "rest": pa.array([0] * len(a) + [rest], pa.int64())})
+        a, b, head = [x for x, _ in pairs], [x for _, x in pairs], cell.column("head")[0].as_py()
+        cols = [pa.array([head] * (len(a) + 1), pa.int64()), pa.array([*a, None], pa.binary()), pa.array([*b, None], pa.binary())]
+        return pa.table([*cols, pa.array([0] * len(a) + [rest], pa.int64())], ["head", "a", "b", "rest"])
 
     return work
 
@@ -397,17 +401,19 @@ def near_classes(docs: DataFrame, table: DataFrame) -> DataFrame:
         else:
             named = members.join(labels, F.col("cls") == F.col("node"), "left")
             named = named.select("head", "cls", F.coalesce("label", "cls").alias("label"))
+            named = named.join(todo, "head", "left_semi")
             open_ = named.groupBy("head").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
             left = named.join(open_.select("head"), "head", "left_semi")
         cells = _cells(materialize(left, "open")).join(bits, "cls")
-        found = cells.groupBy("head", "x", "y").applyInArrow(_compared(mode), "a binary, b binary, rest long")
+        found = cells.groupBy("head", "x", "y").applyInArrow(_compared(mode), "head long, a binary, b binary, rest long")
         found = materialize(found, "compared")
         new = verified(found.where(F.col("a").isNotNull()).select("a", "b").distinct(), docs, classes)
         links = materialize(new if links is None else links.unionByName(new), "links")
         release(docs.sparkSession)
         labels = components(links)
-        if mode == "nearest" and not found.agg(F.coalesce(F.sum("rest"), F.lit(0))).first()[0]:
-            break  # no pair was kept back
+        todo = found.where("rest > 0").select("head").distinct()
+        if todo.isEmpty():
+            break
     return labels
 
 
