@@ -34,7 +34,7 @@ from quern.session import materialize
 SIZE, END = 1024, 2
 TOKENIZER = "byte_bpe_50k.json"
 #: Chunks remembered by a worker; it starts afresh beyond that.
-CACHE = 800_000
+CACHE = 1_500_000
 #: Pieces that one numbering task holds of a length, about.
 PART = 500_000
 #: Rows of the table of salted counts up to which it is broadcast.
@@ -42,7 +42,6 @@ BROADCAST_ROWS = 200_000
 
 _ODD = re.compile("[\x1c-\x1f\x85᠎]")
 _LOOSE = re.compile(r" (?:\s|\Z)")
-_BLANK = re.compile(r"\s|<\|")
 _CUT = re.compile(r"(?= \S)")
 
 
@@ -62,27 +61,32 @@ class Encoder:
         self.plain: dict[str, bytes] = {}  # a text's first chunk, or a chunk as it stands
 
     def _ids(self, chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.model.encode_batch(chunks, add_special_tokens=False)]
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.model.encode_batch_fast(chunks, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
         """Remembers the ids of words that follow a space.
 
-        Words without blanks are encoded as one text and told apart by their length in bytes.
+        Words that neither begin nor end in a blank are encoded as one text and told apart by their length in bytes.
         """
-        plain = [w for w in words if w and not _BLANK.search(w)]
-        for low in range(0, len(plain), 4_096):
-            own = plain[low : low + 4_096]
-            ids = np.array(self.model.encode(" " + " ".join(own), add_special_tokens=False).ids, dtype="<u4")
+        own = [w for w in words if w and w.strip() == w]
+        rest = [w for w in words if not w or w.strip() != w]
+        for low in range(0, len(own), 65_536):
+            self._learn_joined(own[low : low + 65_536])
+        self.known.update(zip(rest, self._ids([" " + w for w in rest])))
+
+    def _learn_joined(self, own: list[str]) -> None:
+        groups = [own[i : i + 2_048] for i in range(0, len(own), 2_048)]
+        texts = [" " + " ".join(g) for g in groups]
+        for g, text, e in zip(groups, texts, self.model.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(e.ids, dtype="<u4")
             ends = np.cumsum(self.bytes_of[ids])
-            wanted = np.cumsum([len(w.encode()) + 1 for w in own])
+            wanted = np.cumsum(np.fromiter(map(len, map(str.encode, g)), np.int64, len(g)) + 1)
             at = np.searchsorted(ends, wanted)
-            if len(ends) and ends[-1] == wanted[-1] and (ends[at] == wanted).all():
+            if "<|" not in text and ends[-1] == wanted[-1] and (ends[at] == wanted).all():
                 raw, cut = ids.tobytes(), (4 * (at + 1)).tolist()
-                self.known.update(zip(own, [raw[a:z] for a, z in zip([0, *cut], cut)]))
+                self.known.update(zip(g, [raw[a:z] for a, z in zip([0, *cut], cut)]))
             else:
-                self.known.update(zip(own, self._ids([" " + w for w in own])))
-        rest = [w for w in words if not w or _BLANK.search(w)]
-        self.known.update(zip(rest, self._ids([" " + w for w in rest])))
+                self.known.update(zip(g, self._ids([" " + w for w in g])))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         tight, loose, odd = {}, {}, []
