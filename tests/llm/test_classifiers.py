@@ -66,3 +66,29 @@ def test_network_is_calibrated():
     y = (rng.random(3000) < chance).astype(int)
     s = quality.fit(x[:2000], y[:2000]).scores(x[2000:])
     assert np.abs(s - chance[2000:]).mean() < 0.12
+
+
+def test_clean_texts_of_10_000_sentences_are_not_toxic():
+    docs = pd.read_parquet(f"{SF}/documents.parquet", columns=["doc_id", "text"]).merge(pd.read_parquet(f"{SF}/labels.parquet"), on="doc_id")
+    held = docs.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 5 == 0)
+    own = docs[~held]
+    model = toxicity.fit(own.text.tolist(), own.toxic.tolist())
+    weights = toxicity._Weights(model.weights)
+    score = lambda t: -np.expm1(-toxicity.sentence_masses(t, weights, model.bias).sum())
+    masses = lambda t: toxicity.sentence_masses(t, weights, model.bias)
+    clean = [t for t in docs[held & (docs.toxic == 0)].text if masses(t).max(initial=0) < 0.1]  # without a suspect sentence
+    joined = "\n".join(clean)
+    assert len(toxicity.sentences(joined)[0]) > 10_000 and score(joined) < 0.1
+    neutral = "Qzx qzy.\n" * 10_000
+    assert score(neutral) < 0.05 and score(neutral * 40) < 0.5
+    toxic = docs[held & (docs.toxic == 1)].text
+    caught = next(t for t in toxic if score(t) >= 0.5)
+    assert score(neutral + caught + "\n" + neutral) >= 0.5 and score(joined + "\n" + caught) >= 0.5
+
+
+def test_long_labelled_documents_are_learned_from(spark):
+    docs = spark.createDataFrame([(1, "a b. " * 20), (2, "c d"), (3, None), (4, "e " * 60), (5, "f"), (None, "g")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 0), (3, 0), (4, 1), (5, 1), (None, 1)], "doc_id long, toxic int")
+    ids = lambda chars: {r["_did"] for r in toxicity.sample(docs, labels, "toxic", F.lit(True), 10, chars).collect()}
+    assert ids(30) == {1, 2, 4, 5}  # texts longer than 30, which a label's 300 characters hold
+    assert ids(1) == {2, 5}  # a label's 10 characters pass the long texts over
