@@ -4,8 +4,11 @@ Two equal strings of SPAN bytes must meet in one shard, wherever they start. So
 hash among the GRAM-byte grams of its string, which equal strings share. Consecutive starts with the same least
 hash form a segment. Segments are counted by their content first: a hash with one segment in the whole corpus
 holds no repetition, a segment that occurs often is sorted once with a mark, and copies of documents, however many,
-come down to one. The segments of the other hashes are dealt to shards, where external induced sorting (see
-induced_sort.py) finds the strings that start at two places. Only spans go back to the documents.
+come down to one. The segments of the other hashes are dealt to shards, where induced sorting (see induced_sort.py)
+finds the strings that start at two places. A hash with more than a shard of segments, as a common phrase gives, is
+split instead: its strings are dealt one by one by a 128-bit hash of their own, and counted. So no task gets more
+than a few shards' bytes, and a shard is sorted in memory; queues spill only beyond MEMORY tuples. Only spans go
+back to the documents.
 
 Matches never cross documents, and positions are judged on the input.
 
@@ -122,6 +125,36 @@ def _cut(span: int):
     return work
 
 
+def _strings(span: int):
+    """Every string of the segments, by its hash: key, least, seg, place, weight (2 where the segment itself repeats)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for text, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                data = text.encode()
+                for x in own:
+                    for low in range(0, x["n"], 20_000):
+                        places = range(low, min(x["n"], low + 20_000))
+                        keys = [xxhash.xxh3_128_digest(data[a : a + span]) for a in range(x["start"] + low, x["start"] + places.stop)]
+                        n = len(keys)
+                        cols = [pa.array(keys, pa.binary()), pa.array([x["least"]] * n, pa.int64()), pa.array([x["seg"]] * n, pa.binary())]
+                        cols += [pa.array(places, pa.int64()), pa.array([1 + x["often"]] * n, pa.int64())]
+                        yield pa.RecordBatch.from_arrays(cols, ["key", "least", "seg", "place", "weight"])
+
+    return work
+
+
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """least, seg, edges of the runs of places."""
+    for b in batches:
+        out = []
+        for places in b.column(2).to_pylist():
+            p = np.sort(np.array(places))
+            new = np.flatnonzero(np.r_[True, np.diff(p) > 1])
+            out.append(np.stack([p[new], p[np.r_[new[1:], len(p)] - 1] + 1], axis=1).ravel().tolist())
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int64()))], ["least", "seg", "edges"])
+
+
 def _sorted_shard(span: int, memory: int):
     """One shard: its segments, each ended by a separator, sorted as one text; gives the repeated starts of each."""
 
@@ -156,6 +189,15 @@ def _sorted_shard(span: int, memory: int):
     return work
 
 
+def _wanted(docs: DataFrame, same: DataFrame) -> DataFrame:
+    """text, own: the documents that the segments are read from, each with its segments."""
+    wanted = same.groupBy(F.col("at.doc_id").alias("_d"), F.col("at.fp").alias("_f")).agg(
+        F.collect_list(F.struct(F.col("at.start").alias("start"), "n", "least", "seg", (F.col("copies") > 1).alias("often"))).alias("own")
+    )
+    rows = docs.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("fp") == F.col("_f")))
+    return rows.select("text", "own")
+
+
 def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, shard: int = SHARD, memory: int = MEMORY) -> DataFrame:
     """doc_id, fp, spans of the documents of _texts(): pieces of [start of the first, start after the last) string."""
     found = materialize(segment_table(docs, span, gram), "segments")
@@ -169,15 +211,24 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, shard: i
     alone = (F.col("kinds") == 1) & ~F.col("twice")  # its only repetitions are its copies
     whole = same.where(alone).select("least", "seg", F.array(F.lit(0).cast("long"), F.col("n")).alias("edges"))
     mixed = same.where(~alone)
+    size = mixed.groupBy("least").agg(F.sum(F.col("n") + span).alias("size"))
+    hot = materialize(size.where(F.col("size") > shard).select("least"), "segments-hot")  # fewer rows than shards
+    parts = [whole]
+    if not hot.isEmpty():
+        strings = _wanted(docs, mixed.join(F.broadcast(hot), "least", "left_semi"))
+        strings = strings.mapInArrow(_strings(span), "key binary, least long, seg binary, place long, weight long")
+        strings = materialize(strings, "strings")
+        again = strings.groupBy("key").agg(F.sum("weight").alias("n")).where("n > 1").select("key")
+        places = strings.join(again, "key", "left_semi").groupBy("least", "seg").agg(F.collect_list("place").alias("places"))
+        parts.append(places.mapInArrow(_edges, "least long, seg binary, edges array<long>"))
+        mixed = mixed.join(F.broadcast(hot), "least", "left_anti")
     total = mixed.agg(F.coalesce(F.sum(F.col("n") + span), F.lit(0))).first()[0]
-    wanted = mixed.groupBy(F.col("at.doc_id").alias("_d"), F.col("at.fp").alias("_f")).agg(
-        F.collect_list(F.struct(F.col("at.start").alias("start"), "n", "least", "seg", (F.col("copies") > 1).alias("often"))).alias("own")
-    )
-    cut = docs.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("fp") == F.col("_f")))
-    cut = cut.select("text", "own").mapInArrow(_cut(span), "least long, seg binary, often boolean, data binary")
+    cut = _wanted(docs, mixed).mapInArrow(_cut(span), "least long, seg binary, often boolean, data binary")
     shards = cut.repartition(max(1, -(-total // shard)), "least")
     spans = shards.mapInArrow(_sorted_shard(span, memory), "least long, seg binary, edges array<long>")
-    hits = found.join(spans.unionByName(whole), ["least", "seg"])
+    for part in parts:
+        spans = spans.unionByName(part)
+    hits = found.join(spans, ["least", "seg"])
     moved = F.transform("edges", lambda e: e + F.col("start"))
     return hits.groupBy("doc_id", "fp").agg(F.collect_list(moved).alias("spans"))
 

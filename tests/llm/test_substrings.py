@@ -84,3 +84,19 @@ def test_induced_sorting(memory):
         count = Counter(t[i : i + cap].tobytes() for i in range(len(t) - cap + 1))
         want = [i + cap <= len(t) and count[t[i : i + cap].tobytes()] > 1 for i in range(len(t))]
         assert repeated_starts(t, cap, memory).tolist() == want
+
+
+@pytest.mark.parametrize("shard,split", [(3_000, True), (10**9, False)])
+def test_a_phrase_of_most_documents_is_split(spark, monkeypatch, shard, split):
+    """Its least hash has more than a shard of distinct segments, so its strings are dealt one by one."""
+    rng = random.Random(7)
+    part = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    phrase, passage = part(60), part(200)
+    rows = [(i, part(150) + phrase + part(150)) for i in range(80)] + [(100 + i, part(90) + passage + part(90)) for i in range(40)]
+    rows += [(200, rows[0][1]), (201, rows[1][1]), (202, "ab" * 3_000), (203, rows[2][1][100:300]), (None, rows[90][1])]
+    calls, own = [], substring_dedup._strings
+    monkeypatch.setattr(substring_dedup, "_strings", lambda span: calls.append(span) or own(span))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substring_dedup.removed(frame, span=80, gram=16, shard=shard).collect()
+    assert sorted(map(tuple, got), key=repr) == plain(rows, 80)
+    assert bool(calls) == split
