@@ -26,17 +26,20 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the smallest id; documents without an id all stay.
+    """Of each component of near duplicates the row with the smallest id; documents without an id all stay.
 
+    Rows are known by a 64-bit hash of id and text, so the texts of a repeated id are judged each on its own.
     Repeated rows are copies of each other, so one stays.
     """
-    near = parity_join.near_duplicates(docs.select("doc_id", "text"))
-    first = near.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").select(*docs.columns)
-    twice = near.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    if not twice.isEmpty():
-        kept = kept.withColumn("_fp", F.xxhash64("text")).dropDuplicates(["doc_id", "_fp"]).select(*docs.columns)
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    own = docs.where(F.col("doc_id").isNotNull()).withColumn("_key", F.xxhash64("doc_id", "text"))
+    near = parity_join.near_duplicates(own.select(F.col("_key").alias("doc_id"), "text"))
+    near = near.select(F.col("doc_id").alias("_key"), "component_id")
+    ids = own.select("_key", F.col("doc_id").alias("_id")).distinct()
+    first = near.join(ids, "_key").groupBy("component_id").agg(F.min(F.struct("_id", "_key"))["_key"].alias("_key"))
+    kept = own.join(first, "_key", "left_semi")
+    if not near.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        kept = kept.dropDuplicates(["_key"])
+    return kept.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -164,3 +164,11 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
         spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(d / "labels.parquet"))
         assert (corpus_pipeline.run(spark, str(d)).count() > 0) == bool(own)
     assert line_dedup.dedup_lines(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_pipeline_keeps_one_of_each_group_where_ids_repeat(spark):
+    text = lambda k, end="": " ".join(f"{k}{i}" for i in range(60)) + end
+    rows = [(3, text("a")), (7, text("a", " more")), (7, text("b")), (7, text("c")), (7, text("c", " more")), (9, text("d")), (9, text("e")), (9, text("e")), (None, text("a"))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text.split()[0]) for r in corpus_pipeline.keep_one_of_each_group(spark, frame, SF).collect()]
+    assert sorted(got, key=repr) == sorted([(3, "a0"), (7, "b0"), (7, "c0"), (9, "d0"), (9, "e0"), (None, "a0")], key=repr)
