@@ -30,7 +30,7 @@ from quern.session import materialize
 
 K, EVERY = 20, 20
 PIVOTS, INDEXED, ASKED = 256, 128, 64
-RERANK, LEAST = 0.2, 512
+RERANK, LEAST = 0.35, 512
 SEGMENT, BLOCK = 16_384, 1_024
 SCHEMA = "query_id long, vec_id long, score double"
 
@@ -90,7 +90,7 @@ def segment_search(rows, perms, ids, asked, asked_perms, asked_ids, k, share=RER
                 gap[row_of[s]] += np.abs(place[s] - j) - (keep - j)
         at = np.argpartition(gap, take - 1)[:take] if take < n else np.arange(n)
         at = at[ids[at] != asked_ids[i]]
-        score = (rows[at] * asked[i]).sum(axis=1)
+        score = np.einsum("ij,j->i", rows[at], asked[i])
         top = vectors.best(score, ids[at], k)
         yield i, at[top], score[top]
 

@@ -96,3 +96,19 @@ def test_sql(spark):
     c.execute(f"create view embeddings as select * from read_parquet('{SF}/embeddings.parquet')")
     own = exact_search.op5_exact_top_k(spark, SF).orderBy("query_id", "rank").collect()
     assert [tuple(r) for r in own] == c.sql(f"select * from ({exact_search.SQL}) order by query_id, rank").fetchall()
+
+
+def test_registered_query_holds_recall_on_unequal_lengths(spark, tmp_path):
+    raw = spark.read.parquet("/root/testdata/check_l/embeddings.parquet").where("vec_id is not null").orderBy("vec_id").limit(5_000)
+    raw = raw.withColumn("embedding", F.transform("embedding", lambda x: (x * (1 + F.col("vec_id") % 5)).cast("float")))
+    raw.write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = found(permutation_index.op1_permutation_index(spark, str(tmp_path)))
+    table_ = sorted((r.id, np.array(r.v)) for r in permutation_index.prepared(spark.read.parquet(str(tmp_path / "embeddings.parquet"))).collect())
+    ids, x = np.array([i for i, _ in table_]), np.stack([v for _, v in table_])
+    asked = ids[ids % 20 == 0]
+    hits = 0
+    for q in asked:
+        s = x @ x[ids == q][0]
+        s[ids == q] = -np.inf
+        hits += len(set(ids[np.lexsort((ids, -s))[:20]].tolist()) & {i for i, _ in got[q]})
+    assert len(asked) > 100 and hits / (20 * len(asked)) >= 0.9
