@@ -9,7 +9,8 @@ Pieces are numbered within their length in salted parts, so a length that a thir
 by many tasks, and each number finds its sequence and offset in the plan by binary search.
 
 Texts are tokenized in chunks, cut only before a space that a non-space follows. The tokenizer's own split always
-cuts there, so a chunk's ids never depend on its neighbours and are remembered, within a bound.
+cuts there, so a chunk's ids never depend on its neighbours and are remembered, within a bound. Texts that hold a
+special token or an odd blank are tokenized whole.
 
 Defined results: null text is empty text, one piece holding the end id; repeated rows are documents of their own
 and are packed each; a null id stays null; an empty table gives no rows; further columns are ignored.
@@ -54,8 +55,10 @@ class Encoder:
 
         self.model, self.limit = Tokenizer.from_file(path), cache
         table = pre_tokenizers.ByteLevel.alphabet()  # one character a byte, so a token's length is its bytes
-        vocab = self.model.get_vocab(with_added_tokens=False)
-        self.bytes_of = np.zeros(max(vocab.values()) + 1, np.int64)
+        added = self.model.get_added_tokens_decoder()
+        self.special = sorted(t.content for t in added.values())
+        vocab = {x: i for x, i in self.model.get_vocab(with_added_tokens=False).items() if i not in added}
+        self.bytes_of = np.zeros(self.model.get_vocab_size(with_added_tokens=True) + 1, np.int64)
         self.bytes_of[list(vocab.values())] = [len(x) if set(x) <= set(table) else 0 for x in vocab]
         self.known: dict[str, bytes] = {}  # a chunk without its leading space
         self.plain: dict[str, bytes] = {}  # a text's first chunk, or a chunk as it stands
@@ -82,7 +85,7 @@ class Encoder:
             ends = np.cumsum(self.bytes_of[ids])
             wanted = np.cumsum(np.fromiter(map(len, map(str.encode, g)), np.int64, len(g)) + 1)
             at = np.searchsorted(ends, wanted)
-            if "<|" not in text and ends[-1] == wanted[-1] and (ends[at] == wanted).all():
+            if ends[-1] == wanted[-1] and (ends[at] == wanted).all():
                 raw, cut = ids.tobytes(), (4 * (at + 1)).tolist()
                 self.known.update(zip(g, [raw[a:z] for a, z in zip([0, *cut], cut)]))
             else:
@@ -91,7 +94,7 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         tight, loose, odd = {}, {}, []
         for i, t in enumerate(texts):
-            if _ODD.search(t):
+            if _ODD.search(t) or any(x in t for x in self.special):
                 odd.append(i)
             elif _LOOSE.search(t):
                 loose[i] = _CUT.split(t)

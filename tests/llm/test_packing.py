@@ -93,3 +93,35 @@ def test_pack(spark):
     joined = packing.sequences(packing.pack(frame, size=64, keep_ids=True)).collect()
     assert len(joined) == len(bins) and all(len(r.ids) <= 64 for r in joined)
     assert packing.pack(frame.limit(0)).count() == 0
+
+
+def test_special_tokens_anywhere():
+    parts = ["see", "<|endoftext|>", " ", "  ", "here", "\n", "<|", "|>", "a<|endoftext|>b", "word"]
+    rng = random.Random(8)
+    texts = ["see <|endoftext|> here", *("".join(rng.choice(parts) for _ in range(rng.randint(1, 9))) for _ in range(300))]
+    texts += [" ".join(rng.choice(parts) for _ in range(rng.randint(1, 9))) for _ in range(300)]
+    own, model = packing.Encoder(PATH), Tokenizer.from_file(PATH)
+    assert [np.frombuffer(b, "<u4").tolist() for b in own(texts)] == [model.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_query_at_its_size(spark, tmp_path):
+    """op4 at 1024 tokens: ids, cuts and places of long, tiny, null, repeated and special texts."""
+    rows = [(1, "word " * 9_000), (2, None), (3, ""), (4, "a <|endoftext|> b"), (4, "a <|endoftext|> b"), (None, "x" * 3_000), *((10 + i, "hot text") for i in range(2_000))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = packing.op4_packing(spark, str(tmp_path)).collect()
+    model = Tokenizer.from_file(PATH)
+    want, least = [], 0
+    for i, t in rows:
+        ids = np.array([*model.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        starts = packing.cuts(len(ids), 1024).tolist()
+        own = [ids[a:z].tobytes() for a, z in zip(starts, [*starts[1:], len(ids)])]
+        want += [(i, p, a, len(b) // 4, zlib.crc32(b)) for p, (a, b) in enumerate(zip(starts, own))]
+        least += len(ids)
+    assert sorted((tuple(r)[:5] for r in got), key=repr) == sorted(want, key=repr)
+    bins = defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for parts in bins.values():
+        ends = np.cumsum([0, *[n for _, n in sorted(parts)]]).tolist()
+        assert [o for o, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 1024
+    assert len(bins) <= -(-least // 1024) + 1
