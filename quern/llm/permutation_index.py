@@ -1,19 +1,20 @@
 """Approximate nearest neighbours by a permutation index.
 
-Pivots are a bounded sample of the vectors (PIVOTS rows, those with the smallest hash). Every vector is turned
-into the order of its INDEXED nearest pivots. A segment of rows posts these orders in one inverted file a pivot:
-the rows that rank it, and at which place. A query walks the files of its own ASKED nearest pivots, adds up the
-footrule distance (a pivot that a row doesn't rank counts as one place past the last), takes the RERANK share
-of each segment that comes nearest by it, at least LEAST rows, and ranks these by the exact measure.
+Pivots are a bounded sample of the vectors: PIVOTS of each vector length, those with the smallest hash. Every vector
+is turned into the order of the pivots by nearness, and kept as its place for each pivot. A segment of rows posts
+these places in one inverted file a pivot, which holds every row's place, so a file is an array and no list. A query
+walks the files of its WALK nearest pivots, adds up the footrule distance |row's place - own place|, takes the
+RERANK share of each segment that comes nearest by it, at least LEAST rows, and ranks these by the exact measure.
 
 The measure is the inner product, so lengths are made equal first: with M the longest row, a row becomes
 (x / M, sqrt(1 - |x|^2 / M^2)) and a query (q / |q|, 0); nearness between these is the inner product's order.
 
 Recall of the 20 nearest against brute force, measured on the test tables, is in README.md and tests/llm.
 
-Defined results: null, empty, zero, partly null or non-finite vectors, and null ids, take no part; of rows with
-one id the smallest vector counts; vectors of other lengths never meet; ties go to smaller ids; an empty table
-gives no rows; further columns are ignored.
+Defined results: null, empty, zero, partly null or non-finite vectors, and null ids, take no part; rows of one id are
+rows of their own, and equal rows ask and are found each; vectors of other lengths never meet; of more than LENGTHS
+lengths the rarest have no pivots and are searched in full; ties go to smaller ids; a product beyond a double's range
+is infinite, one that is no number comes last; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,42 +24,60 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.llm import vectors
 from quern.session import materialize
 
 K, EVERY = 20, 20
-PIVOTS, INDEXED, ASKED = 256, 128, 64
-RERANK, LEAST = 0.35, 512
-SEGMENT, BLOCK = 16_384, 1_024
-SCHEMA = "query_id long, vec_id long, score double"
-
-
-def nearest_pivots(rows: np.ndarray, pivots: np.ndarray, longest: float, keep: int, asked: bool) -> np.ndarray:
-    """Each row's order of its nearest pivots, by the angle between vectors of equal length; asked: the rows are queries."""
-    near = rows @ pivots.T / longest**2
+PIVOTS, WALK = 256, 256
+RERANK, LEAST = 0.2, 128
+#: Vector lengths that have pivots.
+LENGTHS = 64
+SEGMENT, BLOCK = 16_384, 8_192
+SCHEMA = "query_id long, turn long, times long, vec_id long, score double"
+
+
+def places(rows: np.ndarray, pivots: np.ndarray, longest: float, asked: bool) -> np.ndarray:
+    """Each row's place for every pivot, by the angle between vectors of equal length; asked: the rows are queries."""
+    unit, at = rows / longest, pivots / longest
+    near = unit @ at.T
     if not asked:  # a query's last component is 0
-        lift = lambda x: np.sqrt(np.maximum(0, 1 - (x * x).sum(1) / longest**2))
-        near += np.outer(lift(rows), lift(pivots))
-    return np.argsort(-near, axis=1, kind="stable")[:, :keep].astype(np.int16)
+        lift = lambda x: np.sqrt(np.maximum(0, 1 - (x * x).sum(1)))
+        near += np.outer(lift(unit), lift(at))
+    order = np.argsort(-near, axis=1, kind="stable")
+    out = np.empty(order.shape, np.int16)
+    np.put_along_axis(out, order, np.arange(order.shape[1], dtype=np.int16)[None], axis=1)
+    return out
 
 
-def fit(rows: DataFrame, count: int = PIVOTS) -> dict[int, tuple[np.ndarray, float]]:
-    """For each vector length at most count pivots, those with the smallest hash, and the longest row's norm.
+def fit(rows: DataFrame, count: int = PIVOTS, lengths: int = LENGTHS) -> dict[int, tuple[np.ndarray, float]]:
+    """For each of the most frequent vector lengths at most count pivots, and the longest row's norm.
 
-    The pivots are all that is sampled.
+    The pivots are all that is sampled; at most lengths * count rows come to the driver.
     """
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda m, x: m + x * x))
+    size = F.size("v").alias("dim")
+    found = rows.groupBy(size).agg(F.count(F.lit(1)).alias("n"), F.max(F.array_max(F.transform("v", F.abs))).alias("most"))
+    found = {r.dim: r.most for r in found.orderBy(F.col("n").desc(), "dim").limit(lengths).collect()}
+    if not found:
+        return {}
+    most = F.element_at(F.create_map(*[F.lit(x) for r in found.items() for x in r]), F.col("dim"))
+    own = rows.withColumn("dim", size).where(F.col("dim").isin(list(found)))
+    # relative to the largest component, so that no square overflows or vanishes
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda m, x: m + (x / F.col("m")) * (x / F.col("m"))))
+    longest = {r.dim: r.norm for r in own.withColumn("m", most).groupBy("dim").agg(F.max(norm).alias("norm")).collect()}
+    first = W.partitionBy("dim").orderBy(F.xxhash64("v"), "v")
+    taken = own.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= count).select("dim", "v").collect()
     out = {}
-    for r in rows.groupBy(F.size("v").alias("dim")).agg(F.max(norm).alias("longest")).collect():  # a row a length
-        found = rows.where(F.size("v") == r.dim).select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(count).collect()
-        out[r.dim] = (np.array([x.v for x in found], dtype=np.float64).reshape(len(found), r.dim), r.longest)
+    for dim in found:
+        own = {tuple(r.v) for r in taken if r.dim == dim}
+        out[dim] = (np.array(sorted(own)).reshape(-1, dim), found[dim] * min(longest[dim], float(np.finfo(float).max) / found[dim]))
     return out
 
 
-def permuted(rows: DataFrame, pivots: dict, keep: int = INDEXED, asked: bool = False) -> DataFrame:
-    """id, v, perm for every row (id, v): the index table, or with asked the queries, that search() reads."""
+def permuted(rows: DataFrame, pivots: dict, asked: bool = False) -> DataFrame:
+    """The rows with places, 16-bit numbers by pivot: the index table, or with asked the queries, that search() reads."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -66,33 +85,33 @@ def permuted(rows: DataFrame, pivots: dict, keep: int = INDEXED, asked: bool = F
             sizes = np.diff(t.column("v").combine_chunks().offsets.to_numpy()) if len(t) else np.zeros(0, int)
             for dim in np.unique(sizes):
                 part = t.take(pa.array(np.flatnonzero(sizes == dim)))
-                perm = nearest_pivots(vectors.matrix(part.column("v"), np.float64), *pivots[int(dim)], keep, asked)
-                offsets = np.arange(len(part) + 1, dtype=np.int32) * perm.shape[1]
-                column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(perm.ravel()))
-                yield from part.append_column("perm", column).to_batches()
-
-    return rows.mapInArrow(work, "id long, v array<double>, perm array<short>")
-
-
-def segment_search(rows, perms, ids, asked, asked_perms, asked_ids, k, share=RERANK, least=LEAST, walk=ASKED):
-    """Yields (query's place, rows' places, scores) of the k best found in one segment, by posted footrule."""
-    n, keep = perms.shape
-    flat = perms.ravel()
-    order = np.argsort(flat, kind="stable")
-    ends = np.searchsorted(flat[order], np.arange(int(flat.max(initial=0)) + 2))
-    row_of, place = (order // keep).astype(np.int32), (order % keep).astype(np.int16)
-    take = min(n, max(least, int(np.ceil(share * n))))
+                own = places(vectors.matrix(part.column("v"), np.float64), *pivots[int(dim)], asked) if int(dim) in pivots else [b""] * len(part)
+                yield from part.append_column("places", pa.array([bytes(x) for x in own], pa.binary())).to_batches()
+
+    kinds = ", ".join(f"{name} {kind}" for name, kind in rows.dtypes)
+    return rows.mapInArrow(work, f"{kinds}, places binary")
+
+
+def segment_search(rows, files, ids, asked, asked_places, asked_ids, k, share=RERANK, least=LEAST, walk=WALK):
+    """Yields (query's place, rows' places, scores) of the k best found in one segment. files: every row's place, by pivot."""
+    n = len(rows)
+    take = min(n, max(least, int(np.ceil(share * n)))) if len(files) else n
+    apart, gap = np.empty(n, np.int16), np.empty(n, np.int32)
     for i in range(len(asked)):
-        gap = np.zeros(n, np.int32)
-        for j, p in enumerate(asked_perms[i][:walk]):
-            if p + 1 < len(ends):
-                s = slice(ends[p], ends[p + 1])
-                gap[row_of[s]] += np.abs(place[s] - j) - (keep - j)
-        at = np.argpartition(gap, take - 1)[:take] if take < n else np.arange(n)
-        at = at[ids[at] != asked_ids[i]]
-        score = np.einsum("ij,j->i", rows[at], asked[i])
+        at = np.arange(n)
+        if take < n:
+            gap[:] = 0
+            for p in np.argsort(asked_places[i], kind="stable")[:walk]:
+                np.subtract(files[p], asked_places[i][p], out=apart)
+                np.abs(apart, out=apart)
+                gap += apart
+            at = np.argpartition(gap, take - 1)[:take]
+        own = vectors.own_row(ids, rows, int(asked_ids[i]), asked[i])
+        at = at[at != own]
+        score = rows[at] @ asked[i]
+        score[np.isnan(score)] = -np.inf
         top = vectors.best(score, ids[at], k)
-        yield i, at[top], score[top]
+        yield i, at[top], np.einsum("ij,j->i", rows[at[top]], asked[i]) if np.isfinite(score[top]).all() else score[top]
 
 
 def _cell(k, share, least, walk):
@@ -100,23 +119,25 @@ def _cell(k, share, least, walk):
         rows, asked = vectors.split(cell)
         out = []
         if len(rows) and len(asked):
-            ids, asked_ids = rows.column("id").to_numpy(), asked.column("id").to_numpy()
-            parts = [vectors.matrix(t.column(c), x) for t in (rows, asked) for c, x in (("v", np.float64), ("perm", np.int16))]
-            for i, at, score in segment_search(parts[0], parts[1], ids, parts[2], parts[3], asked_ids, k, share, least, walk):
-                out.append((np.full(len(at), asked_ids[i]), ids[at], score))
-        kinds = (np.int64, np.int64, np.float64)
+            ids, asked_ids, turn, times = rows.column("id").to_numpy(), *(asked.column(c).to_numpy() for c in ("id", "turn", "times"))
+            held = [np.frombuffer(b"".join(t.column("places").to_pylist()), np.int16).reshape(len(t), -1) for t in (rows, asked)]
+            files = np.ascontiguousarray(held[0].T)
+            x, y = (vectors.matrix(t.column("v"), np.float64) for t in (rows, asked))
+            for i, at, score in segment_search(x, files, ids, y, held[1], asked_ids, k, share, least, walk):
+                out.append((*(np.full(len(at), c[i]) for c in (asked_ids, turn, times)), ids[at], score))
+        kinds = (np.int64, np.int64, np.int64, np.int64, np.float64)
         cols = [np.concatenate([x[j] for x in out]) if out else np.zeros(0, t) for j, t in enumerate(kinds)]
-        return pa.table({"query_id": cols[0], "vec_id": cols[1], "score": cols[2]})
+        return pa.table(cols, ["query_id", "turn", "times", "vec_id", "score"])
 
     return run
 
 
 def search(
     index: DataFrame, queries: DataFrame, n_rows: int, n_queries: int, k: int = K, share: float = RERANK,
-    least: int = LEAST, walk: int = ASKED, segment: int = SEGMENT, block: int = BLOCK,
+    least: int = LEAST, walk: int = WALK, segment: int = SEGMENT, block: int = BLOCK,
 ) -> DataFrame:
-    """index, queries: id, v, perm. query_id, rank, vec_id, score of the k best found, own row excepted."""
-    cells = vectors.deal(index, queries, n_rows, n_queries, segment, block, extra=("perm",))
+    """index, queries: permuted(). query_id, rank, vec_id, score of the k best found, own row excepted."""
+    cells = vectors.deal(index, queries, n_rows, n_queries, segment, block, extra=("places",))
     found = cells.groupBy("seg", "blk", "dim").applyInArrow(_cell(k, share, least, walk), SCHEMA)
     return vectors.ranked(found, k)
 
@@ -130,5 +151,5 @@ def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = materialize(prepared(spark.read.parquet(f"{sf_dir}/embeddings.parquet")), "ann-rows")
     pivots = fit(rows)
     index = materialize(permuted(vectors.first_copies(rows, K), pivots), "ann-index")
-    queries = materialize(permuted(rows.where(F.col("id") % EVERY == 0), pivots, asked=True), "ann-queries")
+    queries = materialize(permuted(vectors.asked(rows, F.col("id") % EVERY == 0), pivots, asked=True), "ann-queries")
     return search(index, queries, index.count(), queries.count())
