@@ -14,25 +14,30 @@ repetition; null ids are documents before all others; an empty table gives no ro
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPAN = 3
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with value evaluated once a row, also where body uses it for every element of an array."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _windows(docs: DataFrame) -> DataFrame:
     """_id, _fp, pos, h1, h2 of every window."""
-    lines = docs.select(
-        F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_fp"), F.split("text", "\n", -1).alias("_l")
-    ).where(F.size("_l") >= SPAN)
-    hashed = F.transform(
-        F.sequence(F.lit(0), F.size("_l") - SPAN),
-        lambda i: F.struct(
-            F.xxhash64(*[F.get("_l", i + j) for j in range(SPAN)]).alias("h1"),
-            F.xxhash64(F.lit("second"), *[F.get("_l", i + j) for j in reversed(range(SPAN))]).alias("h2"),
-        ),
-    )
-    return lines.select("_id", "_fp", F.posexplode(hashed).alias("pos", "h")).select("_id", "_fp", "pos", "h.h1", "h.h2")
+
+    def hashed(lines: Column) -> Column:
+        window = lambda i: F.struct(
+            F.xxhash64(*[F.get(lines, i + j) for j in range(SPAN)]).alias("h1"),
+            F.xxhash64(F.lit("second"), *[F.get(lines, i + j) for j in reversed(range(SPAN))]).alias("h2"),
+        )
+        return F.when(F.size(lines) >= SPAN, F.transform(F.sequence(F.lit(0), F.size(lines) - SPAN), window))
+
+    own = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_fp"), _let(F.split("text", "\n", -1), hashed).alias("_h"))
+    own = own.select("_id", "_fp", F.posexplode("_h").alias("pos", "h"))  # the text stays behind
+    return own.select("_id", "_fp", "pos", "h.h1", "h.h2")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -50,16 +55,20 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     covered = covered.select(F.col("_id").alias("_cid"), F.col("_fp").alias("_cfp"), "_at")
     out = docs.withColumn("_fp", F.xxhash64("text"))
     out = out.join(covered, F.col("doc_id").eqNullSafe(F.col("_cid")) & (F.col("_fp") == F.col("_cfp")), "left")
-    lines = F.split("text", "\n", -1)
-    gone = F.array_distinct(F.flatten(F.transform("_at", lambda p: F.array(*[p + j for j in range(SPAN)]))))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
-    out = out.withColumn("_n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"))
-    out = out.withColumn("_n_removed", F.coalesce(F.size(gone), F.lit(0)).cast("long"))
-    out = out.withColumn("_n_removed", F.when(F.col("_at").isNull(), F.lit(0)).otherwise(F.col("_n_removed")).cast("long"))
-    new = F.when(F.col("_at").isNull(), F.col("text")).otherwise(
-        F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
-    )
-    out = out.withColumn("text", new)
+
+    def rest(s: Column) -> Column:
+        """In one pass over the lines: their number, how many go, and the others joined."""
+        gone = F.array_distinct(F.flatten(F.transform(s["at"], lambda p: F.array(*[p + j for j in range(SPAN)]))))
+        kept = F.array_except(F.sequence(F.lit(0), F.size(s["lines"]) - 1), gone)
+        joined = F.array_join(F.transform(kept, lambda i: F.get(s["lines"], i)), "\n")
+        return F.struct(F.size(s["lines"]).cast("long").alias("n"), F.size(gone).cast("long").alias("gone"), joined.alias("text"))
+
+    whole = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + F.lit(1)
+    cut = F.when(F.col("_at").isNotNull(), _let(F.struct(F.split("text", "\n", -1).alias("lines"), F.col("_at").alias("at")), rest))
+    out = out.withColumn("_cut", cut)
+    out = out.withColumn("_n_lines", F.coalesce(F.col("_cut.n"), whole.cast("long"), F.lit(0).cast("long")))
+    out = out.withColumn("_n_removed", F.coalesce(F.col("_cut.gone"), F.lit(0).cast("long")))
+    out = out.withColumn("text", F.when(F.col("_at").isNull(), F.col("text")).otherwise(F.col("_cut.text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_at").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast("long"))
     return out.select(*docs.columns, "_n_lines", "_n_removed")
@@ -75,19 +84,20 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH l AS (
-  SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents
+  SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM (SELECT DISTINCT doc_id, text FROM documents)
 ), w AS (
-  SELECT doc_id, ls, unnest(range(0, len(ls) - 2)) AS pos FROM l WHERE len(ls) >= 3
+  SELECT doc_id, text, ls, unnest(range(0, len(ls) - 2)) AS pos FROM l WHERE len(ls) >= 3
 ), k AS (
-  SELECT doc_id, pos, ls[pos + 1] || chr(10) || ls[pos + 2] || chr(10) || ls[pos + 3] AS win FROM w
+  SELECT doc_id, text, pos, ls[pos + 1] || chr(10) || ls[pos + 2] || chr(10) || ls[pos + 3] AS win FROM w
 ), o AS (
-  SELECT doc_id, pos, row_number() OVER (PARTITION BY win ORDER BY doc_id NULLS FIRST, pos) AS rn FROM k
+  SELECT doc_id, text, pos, row_number() OVER (PARTITION BY win ORDER BY doc_id NULLS FIRST, pos) AS rn FROM k
 ), g AS (
-  SELECT doc_id, list_distinct(flatten(list([pos, pos + 1, pos + 2]))) AS gone FROM o WHERE rn > 1 GROUP BY doc_id
+  SELECT doc_id, text, list_distinct(flatten(list([pos, pos + 1, pos + 2]))) AS gone FROM o WHERE rn > 1 GROUP BY doc_id, text
 )
-SELECT l.doc_id, CAST(coalesce(len(l.ls), 0) AS BIGINT) AS n_lines,
+SELECT d.doc_id, CAST(coalesce(len(l.ls), 0) AS BIGINT) AS n_lines,
   CAST(coalesce(len(g.gone), 0) AS BIGINT) AS n_removed,
-  md5(CASE WHEN g.gone IS NULL THEN l.text ELSE coalesce(array_to_string(
+  md5(CASE WHEN g.gone IS NULL THEN d.text ELSE coalesce(array_to_string(
     list_transform(list_filter(range(0, len(l.ls)), lambda i: NOT list_contains(g.gone, i)), lambda i: l.ls[i + 1]), chr(10)), '') END) AS kept_md5
-FROM l LEFT JOIN g ON l.doc_id IS NOT DISTINCT FROM g.doc_id
+FROM documents d LEFT JOIN l ON d.doc_id IS NOT DISTINCT FROM l.doc_id AND d.text = l.text
+LEFT JOIN g ON d.doc_id IS NOT DISTINCT FROM g.doc_id AND d.text = g.text
 """

@@ -1,14 +1,15 @@
 """Mixing sources to target weights.
 
 Each source's words are summed, a source's target follows from its weight and its cap, and every document is
-emitted floor(rate) times plus once more when a hash of its id falls under the rate's fraction. The shares come
+emitted floor(rate) times plus once more when a hash of its id, its text and its number among equal rows falls under
+the rate's fraction. The shares come
 from one water level: with a = cap / weight ascending, the level is the largest of (total - caps before) /
 (weights from here on), because that quotient rises while sources are capped and falls afterwards. So the
 repeated resharing of what capped sources leave over is one ordered pass over the sources.
 
 Defined results: null text has size 0; null source is a source of its own, last in order; a source without
-words has target 0; a null id draws as the text "null"; repeated rows are documents of their own and draw
-alike; an empty table gives no rows; further columns are kept by emit and ignored otherwise.
+words has target 0; a null id draws as the text "null"; repeated rows are numbered and draw each on its own, so
+sources of equal ids or equal rows come near their targets too; an empty table gives no rows; further columns are kept by emit and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -48,12 +49,31 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataF
     )
 
 
-def draw(doc_id: Column, seed: int = SEED) -> Column:
-    """A number in (0, 1) fixed by the id and the seed."""
-    h = F.md5(F.concat(F.lit(f"mix|{seed}|"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+def draw(doc_id: Column, mark: Column, number: Column, seed: int = SEED) -> Column:
+    """A number in (0, 1) fixed by the id, the md5 of the text, the row's number among equal rows, and the seed."""
+    word = lambda c: F.coalesce(c.cast("string"), F.lit("null"))
+    h = F.md5(F.concat_ws("|", F.lit(f"mix|{seed}"), word(doc_id), word(mark), word(number)))
     return (F.conv(F.substring(h, 1, 8), 16, 10).cast("double") + 0.5) / F.lit(4294967296.0)
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows with _number: 0, 1, ... among equal rows.
+
+    Only rows whose hash repeats are grouped, by all columns and summed before they are shuffled, so a row that a
+    third of the table repeats costs one count from each task.
+    """
+    key = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])
+    often = rows.groupBy(key.alias("_key")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_key")
+    often = materialize(often, "mix-often")
+    if not (n := often.count()):
+        return rows.withColumn("_number", F.lit(0).cast("long"))
+    often = F.broadcast(often) if n <= BROADCAST_ROWS else often
+    keyed = rows.withColumn("_key", key)
+    once = keyed.join(often, "_key", "left_anti").drop("_key").withColumn("_number", F.lit(0).cast("long"))
+    many = keyed.join(often, "_key", "left_semi").groupBy(*[F.col(f"`{c}`") for c in rows.columns]).agg(F.count(F.lit(1)).alias("_n"))
+    return once.unionByName(many.select(*[F.col(f"`{c}`") for c in rows.columns], F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_number")))
+
+
 def mix_sources(
     docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = SEED, emit: bool = False
 ) -> DataFrame:
@@ -63,22 +83,23 @@ def mix_sources(
     the per-source result is broadcast when it is measured to be small.
     """
     keep = docs.columns
-    own = docs.select(
-        *([F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row")] if emit else []),
-        F.col("doc_id").alias("_id"),
-        F.col("source").alias("_source"),
-        word_count(F.col("text")).alias("_size"),
-    )
-    narrow = own.select("_id", "_source", "_size") if emit else materialize(own, "mix")
+    shape = (F.col("doc_id").alias("_id"), F.col("source").alias("_source"), word_count(F.col("text")).alias("_size"), F.md5("text").alias("_mark"))
+    if emit:
+        rows = numbered(docs).select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), *shape, "_number")
+        narrow = docs.select(*shape[1:3])
+    else:
+        narrow = materialize(docs.select(*shape), "mix")
+        rows = numbered(narrow)
     sizes = narrow.groupBy("_source").agg(F.sum("_size").alias("source_size")).withColumnRenamed("_source", "source")
     targets = materialize(source_targets(sizes, weights, most), "mix-targets")
     n, width = targets.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("source")), F.lit(0))).first()
     if n <= BROADCAST_ROWS and width <= BROADCAST_BYTES:
         targets = F.broadcast(targets)
-    rows = (own if emit else narrow).join(targets, F.col("_source").eqNullSafe(F.col("source")))
+    rows = rows.join(targets, F.col("_source").eqNullSafe(F.col("source")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate)
-    copies = F.least(F.lit(most), whole + F.when(draw(F.col("_id"), seed) < rate - whole, 1).otherwise(0)).cast("int")
+    drawn = draw(F.col("_id"), F.col("_mark"), F.col("_number"), seed)
+    copies = F.least(F.lit(most), whole + F.when(drawn < rate - whole, 1).otherwise(0)).cast("int")
     if emit:
         rows = rows.select("_row", copies.alias("_copies")).where(F.col("_copies") > 0)
         return rows.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
@@ -98,7 +119,8 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source,
-    CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
+    CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+    md5(text) AS mark, row_number() OVER (PARTITION BY doc_id, source, text) - 1 AS number
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
@@ -118,7 +140,7 @@ WITH d AS (
 ), r AS (
   SELECT d.doc_id, d.size, t.source_size, t.target,
     CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-    (CAST(CAST('0x' || substr(md5('mix|17|' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) AS DOUBLE)
+    (CAST(CAST('0x' || substr(md5('mix|17|' || coalesce(CAST(d.doc_id AS VARCHAR), 'null') || '|' || coalesce(d.mark, 'null') || '|' || d.number), 1, 8) AS BIGINT) AS DOUBLE)
       + 0.5) / 4294967296.0 AS u
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 )

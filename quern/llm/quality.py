@@ -31,6 +31,8 @@ from quern.session import materialize
 
 BUCKETS, DIM, NONZERO, WINDOW = 16_384, 32, 4, 2
 COMMON = 1e-3
+#: Tokens whose pairs are made at a time.
+CHUNK = 500_000
 PER_CLASS, HIDDEN, ROUNDS, RATE, DECAY = 4_000, 24, 400, 0.02, 1e-3
 THRESHOLD, FOLDS, HELD = 0.7, 4, 2
 _TOKEN = re.compile(r"\w+|[^\w\s]+|\n")
@@ -89,13 +91,16 @@ def context_sums(docs: DataFrame) -> DataFrame:
             for text in b.column(0).to_pylist():
                 if not text:
                     continue
-                t = token_buckets(text)
-                count += np.bincount(t, minlength=BUCKETS)
-                for gap in range(1, WINDOW + 1):
-                    pairs += [t[:-gap] * BUCKETS + t[gap:], t[gap:] * BUCKETS + t[:-gap]]
-                held += 2 * WINDOW * len(t)
-                if held > 4_000_000:
-                    add()
+                whole = token_buckets(text)
+                count += np.bincount(whole, minlength=BUCKETS)
+                for low in range(0, len(whole), CHUNK):  # a long text in parts that overlap by a window
+                    t = whole[low : low + CHUNK + WINDOW]
+                    for gap in range(1, WINDOW + 1):
+                        a, b_ = t[:CHUNK][: max(0, len(t) - gap)], t[gap : CHUNK + gap]
+                        pairs += [a * BUCKETS + b_, b_ * BUCKETS + a]
+                    held += 2 * WINDOW * len(t)
+                    if held > 4_000_000:
+                        add()
         add()
         sums += count[:, None] * dense
         used = np.flatnonzero(count)

@@ -24,6 +24,14 @@ from pyspark.sql import functions as F
 
 from quern.session import materialize
 
+#: Keys that differ in hash come apart after a few levels, each halving what is left; more than this is a fault.
+LEVELS = 200
+#: Listed keys up to so many characters are broadcast; more are joined by shuffle.
+BROADCAST_CHARS = 8_000_000
+#: Filters up to so many bits are constants of the plan; a larger list is refused.
+MOST_BITS = 64_000_000
+#: Stands between listed keys; no key holds it.
+SEPARATOR = "\x00"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -95,7 +103,7 @@ class Level:
         return [F.pmod(one + two * F.lit(i) + F.lit(i * i), F.lit(self.bits)) for i in range(self.hashes)]
 
     def may_contain(self, key: Column) -> Column:
-        held = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")  # folded to a constant
+        held = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")  # folded to a constant, at most MOST_BITS
         hit = F.lit(True)
         for p in self.positions(key):
             word = F.element_at(held, (F.floor(p / 64) + 1).cast("int"))
@@ -106,6 +114,8 @@ class Level:
 def encode(keys: DataFrame, count: int, rate: float, seed: int) -> Level:
     """A Bloom filter of the frame's one column; the words brought to the driver are bits/64, set by count."""
     bits = max(64, 64 * math.ceil(count * math.log2(1 / rate) / math.log(2) / 64))
+    if bits > MOST_BITS:
+        raise ValueError(f"a filter of {bits} bits is over {MOST_BITS}: split the list")
     hashes = max(1, round(math.log2(1 / rate)))
     empty = Level(seed, bits, hashes, ())
     set_bits = keys.select(F.explode(F.array(*empty.positions(F.col(keys.columns[0])))).alias("p"))
@@ -131,17 +141,23 @@ class Cascade:
 def build_cascade(universe: DataFrame, size: int, listed: list[str], seed: int = 0) -> Cascade:
     """universe: one column of keys, repeats allowed; size: about how many differ; listed: the keys to hold."""
     spark, listed = universe.sparkSession, sorted(set(listed))
+    if any(SEPARATOR in x for x in listed):
+        raise ValueError("a listed key holds the separator")
     if not listed:
         return Cascade(())
     key = F.col(universe.columns[0])
-    table = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in listed])).alias("key"))
+    text = SEPARATOR.join(listed)
+    table = spark.range(1).select(F.explode(F.split(F.lit(text), SEPARATOR)).alias("key"))  # one constant, however many keys
     rate = min(0.5, len(listed) * math.sqrt(0.5) / max(size, 1))
     levels = [encode(table, len(listed), rate, seed)]
     # what passes level 0 wrongly: about as many keys as are listed, whatever the universe's size
     wrong = universe.where(levels[0].may_contain(key)).select(key.alias("key")).distinct()
-    wrong = materialize(wrong.join(F.broadcast(table), "key", "left_anti"), "cascade")
+    held = F.broadcast(table) if len(text) <= BROADCAST_CHARS else table
+    wrong = materialize(wrong.join(held, "key", "left_anti"), "cascade")
     inside, outside = table, wrong
-    while (n := outside.count()) and len(levels) < 200:
+    while n := outside.count():
+        if len(levels) == LEVELS:
+            raise RuntimeError(f"{n} keys still pass wrongly after {LEVELS} levels")
         levels.append(encode(outside, n, 0.5, seed + 2 * len(levels)))
         inside, outside = outside, inside.where(levels[-1].may_contain(F.col("key")))
     return Cascade(tuple(levels))

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 from collections import defaultdict
 
 import duckdb
@@ -149,3 +150,38 @@ def test_native_plans(spark):
         plan = frame._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Pandas|Arrow", plan)
 
+
+
+def test_cascade_of_100_000_keys(spark):
+    listed = [f"host{i}.com/" for i in range(100_000)]
+    universe = spark.range(150_000).select(F.concat(F.lit("host"), F.col("id"), F.lit(".com/")).alias("key"))
+    c = url_filters.build_cascade(universe, 150_000, listed)
+    got = universe.where(c.contains(F.col("key"))).agg(F.count(F.lit(1)), F.max(F.regexp_extract("key", r"\d+", 0).cast("int"))).first()
+    assert tuple(got) == (100_000, 99_999)
+
+
+def test_equal_ids_and_equal_rows_come_near_their_targets(spark, tmp_path):
+    rows = [(None, f"word{i} " * 10, "nulls") for i in range(400)] + [(5, "same text of six words here", "rows") for _ in range(900)]
+    rows += [(5, f"other{i} " * 10, "ids") for i in range(400)] + [(i, "w " * 9, "small") for i in range(1_000, 1_400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken, target = defaultdict(int), {}
+    for r in mixing.mix_sources(frame).collect():
+        key = (r.source_size, r.target)
+        taken[key] += r.taken
+        target[key] = r.target
+    assert all(abs(taken[k] - target[k]) <= 0.1 * target[k] for k in target) and len(target) == 4
+    assert sum(len(r.text.split()) for r in mixing.mix_sources(frame, emit=True).collect()) == sum(taken.values())
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(map(tuple, mixing.op7_mixing(spark, str(tmp_path)).collect()), key=repr) == sql_rows(mixing.SQL, documents=f"{tmp_path}/documents.parquet/*.parquet")
+
+
+def test_a_text_of_30_000_lines(spark, tmp_path):
+    body = [f"line {i} " + "x" * 30 for i in range(30_000)]
+    rows = [(1, "\n".join(body)), (2, "\n".join(x for i in range(0, 30_000, 10) for x in [*body[i : i + 5], f"own {i}"])), (3, "\n".join(body[:2])), (3, "\n".join(body[:2]))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    line_dedup.op6_line_dedup(spark, SF).collect()
+    began = time.time()
+    own = sorted(map(tuple, line_dedup.op6_line_dedup(spark, str(tmp_path)).collect()), key=repr)
+    assert time.time() - began < 8
+    assert [r[1:3] for r in own] == [(30_000, 0), (18_000, 15_000), (2, 0), (2, 0)]
+    assert own == sql_rows(line_dedup.SQL, documents=f"{tmp_path}/documents.parquet/*.parquet")
