@@ -28,7 +28,7 @@ def local_session(app: str = "quern", cores: str = "*", partitions: int = 8) ->
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir.
 
-    Where the setting is absent (tests, a laptop) a folder of this machine takes its place.
+    Where the setting is absent a folder of this machine takes its place in local mode; a cluster must name one.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -37,6 +37,8 @@ def scratch_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named.rstrip("/")
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir("file://" + os.path.join(tempfile.gettempdir(), "quern-scratch"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -49,7 +51,21 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/quern/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Delete what materialize() wrote for these very frames; for tables that nothing reads any more, as in loops."""
+    for df in frames:
+        if df is not None and (path := getattr(df, "scratch_path", None)):
+            _delete(df.sparkSession, path)
 
 
 def release(spark: SparkSession) -> None:
@@ -60,7 +76,4 @@ def release(spark: SparkSession) -> None:
 
 def drop_scratch(spark: SparkSession) -> None:
     """Delete everything that materialize() wrote; call it when no frame that reads it is needed any more."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/quern")
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(path, True)
+    _delete(spark, f"{scratch_dir(spark)}/quern")
