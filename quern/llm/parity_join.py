@@ -3,20 +3,28 @@
 A document's shingles are hashed to 64 bits and dealt to the blocks of a sketch by their hash; a block is the XOR
 of its shingles' codes. So a shingle that only one of two documents has changes one block, and the number of
 blocks that differ is at most the symmetric difference. A Jaccard similarity of s bounds that difference by
-(a + b)(1 - s)/(1 + s) for sizes a and b. A sketch has enough blocks that, of the non-empty blocks of either
-document, one more than that bound are there; one of them must then be equal in both (the pigeonhole). Where a
-document has too few non-empty blocks it also posts a sketch of twice as many, and so on; its partner does too,
-or has enough itself. Sketches are made per band of sizes, [2^k, 2^(k+1)), and once more across each border.
+(a + b)(1 - s)/(1 + s) for sizes a and b; call the bound d. A sketch has enough blocks that more than d non-empty
+ones are there; one of them must then be equal in both (the pigeonhole). All documents put blocks in one order, and
+post the first d + 1 of theirs: of the blocks that two linked documents share, the first is among these in both,
+since at most d others come before it. The order puts blocks of frequent shingles last, so a passage that a third
+of all documents share is posted only by those that hold little else. Where a document has too few non-empty blocks
+it posts them all, and a sketch of twice as many, and so on; its partner does too, or has enough itself. Sketches
+are made per band of sizes, [2^k, 2^(k+1)), and once more across each border.
 
 Equal blocks meet in buckets, and each bucket's members are filed under its least one, its head, so that buckets
-that share a head are one. Within a head's members bit sketches are compared (each shingle flips one bit, so their
-Hamming distance also is at most the difference), in cells of bounded size: first a star, where members that one
-before them may link with are left to it; then each member against its nearest of each other component; then
-whatever was kept back. Every link is verified on the sets of 64-bit hashes, so near copies, however many, are
-linked by about as many verified pairs as there are copies.
+that share a head are one. Members are compared by bit sketches (each shingle flips one bit, so their Hamming
+distance also is at most the difference) in three steps. First chunk by chunk, with the head in each: a member that
+an earlier one may link with is left to it. Every such pair is verified on the sets of 64-bit hashes, so near copies,
+however many, are linked by about as many pairs as there are copies. Then, under heads that still hold several
+components, the members outside the largest are held against all others in cells of bounded size, and those that
+may link with another component are noted, one row a member. At last these are compared by their sets, and a cell
+gives the links that join its components, fewer than it has members. No step emits all pairs of a group.
 
 Documents with equal sets are one class throughout, so exact copies, however many, cost one member.
 
+The order's frequencies are counted over every text: a task notes shingles that NOTED of the classes it holds at a
+time share, Spark adds the counts up, and the HOT most frequent are known to all. Any order gives the same links.
+
 Defined results: null, empty and blank texts have 0 shingles and a component of their own; a null id has no
 component and links with nothing; repeated rows are copies; where an id has several texts each row counts, and
 they share what they link with; an empty table gives no rows; further columns are ignored.
@@ -32,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.session import materialize, release
+from quern.session import discard, materialize, release
 
 WORDS = 5
 #: Linked when OF * intersection >= AT_LEAST * union.
@@ -41,10 +49,14 @@ AT_LEAST, OF = 75, 100
 BLOCKS = 0.37
 #: Posted blocks in a bucket table's part, and in a task's memory before they leave it.
 PART, FLUSH = 400_000, 2_000_000
-#: Members of one chunk of a comparison cell, and of a group to verify, about.
-CELL, MEMBERS = 2_048, 256
-#: Classes to look up that are broadcast (32 bytes each); more are joined by shuffle.
+#: Shingles that so many classes of a flush share are counted, and so many of the most frequent order the blocks.
+NOTED, HOT = 8, 200_000
+#: Rows of one chunk of a comparison cell, by bit sketches and by sets, and of a group to verify, about.
+CELL, EXACT, MEMBERS = 1_024, 512, 256
+#: Classes to look up, or large heads, that are broadcast (32 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 300_000
+#: Bytes of a word beyond which it is hashed by xxhash.
+LONG_WORD = 256
 _A, _B, _P = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0x5851F42D4C957F2D)
 _U32 = np.uint64(32)
 
@@ -63,6 +75,9 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
+_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+
+
 class _Powers:
     """Powers of _P and of its inverse modulo 2^64, as far as texts have needed them."""
 
@@ -91,7 +106,10 @@ def word_hashes(text: str) -> np.ndarray:
     up, down = _powers(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_CODE[raw] * up[: len(raw)], out=sums[1:])
-    return _mixed((sums[after] - sums[first]) * down[first])
+    out = _mixed((sums[after] - sums[first]) * down[first])
+    for i in np.flatnonzero(after - first > LONG_WORD):
+        out[i] = xxhash.xxh3_64_intdigest(raw[first[i] : after[i]].tobytes().translate(_LOWER))
+    return out
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -119,8 +137,20 @@ def _most(a: int, b: int) -> int:
     return (a + b) * (OF - AT_LEAST) // (OF + AT_LEAST)
 
 
-def posted_blocks(own: np.ndarray) -> np.ndarray:
-    """64-bit names of the blocks under which a set is posted."""
+def frequency(own: np.ndarray, hot: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The level of every shingle: 0, or for those known as frequent the length of their count in bits."""
+    known, level = hot
+    if not len(known):
+        return np.zeros(len(own), np.int8)
+    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+    return np.where(known[at] == own, level[at], 0).astype(np.int8)
+
+
+NONE = (np.zeros(0, np.uint64), np.zeros(0, np.int8))
+
+
+def posted_blocks(own: np.ndarray, hot: tuple[np.ndarray, np.ndarray] = NONE) -> np.ndarray:
+    """64-bit names of the blocks under which a set is posted. hot: shingles, ascending, and their levels."""
     n = len(own)
     k = n.bit_length() - 1
     low, high = 1 << k, (1 << k + 1) - 1
@@ -131,18 +161,25 @@ def posted_blocks(own: np.ndarray) -> np.ndarray:
         plans.append((3 * k + 1, high, larger))
     if smaller < low:  # with the band below: the border is that band's
         plans.append((3 * (k - 1) + 1, low - 1, low - 1))
-    codes, out = _mixed(own ^ _P), []
+    codes, levels, out = _mixed(own ^ _P), frequency(own, hot), []
+    some = levels.any()
     for plan, most, partner in plans:
-        blocks, level = max(1, int(np.ceil(BLOCKS * most))), 0
+        blocks, level, apart = max(1, int(np.ceil(BLOCKS * most))), 0, _most(n, max(n, partner))
         while True:
             at = (own >> _U32) * np.uint64(blocks) >> _U32  # ascending, as the hashes are
             starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
             block = np.bitwise_xor.reduceat(codes, starts)
-            name = np.array([plan * 64 + level], np.uint64) * _B + at[starts] * _A
-            out.append(_mixed(block ^ _mixed(name)))
-            if len(starts) > _most(n, max(n, partner)):
-                break
-            blocks, level = 2 * blocks, level + 1
+            name = _mixed(block ^ _mixed(np.array([plan * 64 + level], np.uint64) * _B + at[starts] * _A))
+            if len(starts) <= apart:
+                out.append(name)
+                blocks, level = 2 * blocks, level + 1
+                continue
+            if some:  # a block is as frequent as its rarest shingle, at most
+                order = np.lexsort((name, np.minimum.reduceat(levels, starts)))
+                out.append(name[order[: apart + 1]])
+            else:
+                out.append(np.partition(name, apart)[: apart + 1])
+            break
     return np.concatenate(out)
 
 
@@ -153,23 +190,59 @@ def bit_sketch(own: np.ndarray) -> bytes:
     return np.packbits(np.bincount(at, minlength=1 << bits) & 1).tobytes()
 
 
-def set_table(docs: DataFrame) -> DataFrame:
-    """doc_id, n, cls (128-bit hash of the set; null if empty) of every row."""
+def set_table(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two tables: doc_id, n, cls (128-bit hash of the set; null if empty), bits of every row; shingle, many counts."""
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+    names = ["doc_id", "n", "cls", "bits", "shingle", "many"]
+
+    def noted(held: list[np.ndarray]) -> pa.RecordBatch:
+        u, many = np.unique(np.concatenate(held), return_counts=True)
+        u, many = u[many >= NOTED].view(np.int64), many[many >= NOTED]
+        none = [None] * len(u)
+        return pa.RecordBatch.from_arrays([*[pa.array(none, k) for k in kinds[:4]], pa.array(u), pa.array(many.astype(np.int64))], names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total, seen = [], 0, set()
         for b in batches:
-            sets = [shingles(t) for t in b.column(1).to_pylist()]
-            n = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), n, pa.array([class_of(s) if len(s) else None for s in sets], pa.binary())], ["doc_id", "n", "cls"])
-
-    return docs.mapInArrow(work, "doc_id long, n long, cls binary")
-
-
-def post(docs: DataFrame, parts: int) -> DataFrame:
+            for low in range(0, b.num_rows, 1_000):
+                part, rows = b.slice(low, 1_000), []
+                for text in part.column(1).to_pylist():
+                    own = shingles(text)
+                    rows.append((len(own), class_of(own) if len(own) else None, bit_sketch(own) if len(own) else None))
+                    if len(own) and rows[-1][1] not in seen:
+                        seen.add(rows[-1][1])
+                        held.append(own)
+                        total += len(own)
+                    if total > FLUSH:
+                        yield noted(held)
+                        held, total = [], 0
+                        seen.clear()
+                cols = [pa.array(c, k) for c, k in zip(zip(*rows), kinds[1:4])]
+                none = pa.array([None] * part.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), *cols, none, none], names)
+        if held:
+            yield noted(held)
+
+    found = docs.mapInArrow(work, "doc_id long, n long, cls binary, bits binary, shingle long, many long")
+    found = materialize(found, "sets-of-docs")
+    return found.where("n is not null").select(*names[:4]), found.where("n is null").select(*names[4:])
+
+
+def frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The HOT most frequent shingles, ascending, and their levels: 9 bytes each on the driver."""
+    rows = counts.groupBy("shingle").agg(F.sum("many").alias("many")).orderBy(F.col("many").desc(), "shingle").limit(HOT).collect()
+    known = np.array([r.shingle for r in rows], np.int64).view(np.uint64)
+    level = np.array([r.many.bit_length() for r in rows], np.int8)
+    order = np.argsort(known)
+    return known[order], level[order]
+
+
+def post(docs: DataFrame, parts: int, hot: tuple[np.ndarray, np.ndarray] = NONE) -> DataFrame:
     """part, names, tags: posted blocks, packed 5 bytes each, beside the first 5 bytes of their classes.
 
     A few packed rows a task instead of one row a block keep the shuffle to 10 bytes a block.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def packed(names: list[np.ndarray], tags: list[np.ndarray]) -> pa.RecordBatch:
         name, tag = np.concatenate(names), np.concatenate(tags)
@@ -186,12 +259,12 @@ def post(docs: DataFrame, parts: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(part[starts].astype(np.int32)), cut(a), cut(b)], ["part", "names", "tags"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, tags, held = [], [], 0
+        names, tags, held, known = [], [], 0, shared.value
         for b in batches:
             for text in b.column(1).to_pylist():
                 own = shingles(text)
                 if len(own) > 1:  # one shingle links with its copies only
-                    names.append(posted_blocks(own))
+                    names.append(posted_blocks(own, known))
                     tags.append(np.full(len(names[-1]), int.from_bytes(class_of(own)[:5], "little"), np.uint64))
                     held += len(names[-1])
                     if held > FLUSH:
@@ -228,81 +301,118 @@ def _buckets(cell: pa.Table) -> pa.Table:
     return pa.table({"head": pairs[0], "tag": pairs[1]})
 
 
-def lookup(docs: DataFrame, wanted: DataFrame, sketch: bool) -> DataFrame:
-    """cls, n, data of the wanted classes (cls, first_id), from one document each: the bit sketch, or the packed hashes."""
+def lookup(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """cls, data of the wanted classes (cls, first_id): the packed hashes, from one document each."""
     wanted = wanted.select(F.col("cls").alias("_c"), F.col("first_id").alias("_first"))
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted.hint("shuffle_hash")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for low in range(0, b.num_rows, 500):
-                part, rows = b.slice(low, 500), []
+                part, rows = b.slice(low, 500), {}
                 for text, cls in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     own = shingles(text)
                     if class_of(own) == cls:  # an id may have other texts
-                        rows.append((cls, len(own), bit_sketch(own) if sketch else own.tobytes()))
+                        rows[cls] = own.tobytes()
                 if rows:
-                    kinds = (pa.binary(), pa.int64(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["cls", "n", "data"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows.items())], ["cls", "data"])
 
     near = docs.join(wanted, F.col("doc_id") == F.col("_first")).select("text", "_c")
-    return near.mapInArrow(work, "cls binary, n long, data binary")
+    return near.mapInArrow(work, "cls binary, data binary").dropDuplicates(["cls"])
+
 
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[list[dict]]:
+    """Rows of one key after the other, from a partition that is sorted by the keys."""
+    own, last = [], None
+    for b in batches:
+        for row in b.to_pylist():
+            key = tuple(row[k] for k in keys)
+            if own and key != last:
+                yield own
+                own = []
+            own.append(row)
+            last = key
+    if own:
+        yield own
 
-def _linked(cell: pa.Table) -> pa.Table:
-    """The members of one group that link with its head; the head's row has no b."""
-    data, b = cell.column("data").to_pylist(), cell.column("b").to_pylist()
-    sets = [np.frombuffer(x, np.uint64) for x in data]
-    keep = []
-    head = next((s for s, x in zip(sets, b) if x is None), None)
-    for own, x in zip(sets, b):
-        if x is not None and head is not None:
-            both = np.sort(np.concatenate([head, own]), kind="stable")
-            shared = int((both[1:] == both[:-1]).sum())
-            if OF * shared >= AT_LEAST * (len(head) + len(own) - shared):
-                keep.append(x)
-    keep = sorted(set(keep))
-    return pa.table({"a": pa.array([cell.column("a")[0].as_py()] * len(keep), pa.binary()), "b": pa.array(keep, pa.binary())})
+
+def _pairs_out(pairs: list[tuple], names: list[str], kinds: list) -> Iterator[pa.RecordBatch]:
+    for low in range(0, len(pairs), 10_000):
+        cols = zip(*pairs[low : low + 10_000])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+
+
+def links(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets of ascending hashes link."""
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return OF * shared >= AT_LEAST * (len(a) + len(b) - shared)
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs (a, b) sorted by a and part, each group led by a's own set, those that link."""
+    keep: list[tuple] = []
+    last, head = None, None
+    for batch in batches:
+        for a, part, b, data in zip(*(batch.column(c).to_pylist() for c in ("a", "part", "b", "data"))):
+            if b is None:
+                last, head = (a, part), np.frombuffer(data, np.uint64)
+            elif (a, part) == last and links(head, np.frombuffer(data, np.uint64)):
+                keep.append((a, b))
+        if len(keep) > 10_000:
+            yield from _pairs_out(keep, ["a", "b"], [pa.binary()] * 2)
+            keep = []
+    yield from _pairs_out(keep, ["a", "b"], [pa.binary()] * 2)
+
+
+def _parts(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) that link, by their sets. A group is one a with at most about MEMBERS of its b."""
-    pairs = materialize(pairs, "pairs")
     nodes = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    sets = materialize(lookup(docs, nodes.join(classes, "cls"), sketch=False), "sets").select("cls", "data")
+    sets = materialize(lookup(docs, nodes.join(classes.select("cls", "first_id"), "cls")), "sets")
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("parts"))
     own = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
     members = own.join(sets, F.col("b") == F.col("cls")).select("a", "part", "b", "data")
     heads = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     heads = heads.join(sets, F.col("a") == F.col("cls")).select("a", "part", F.lit(None).cast("binary").alias("b"), "data")
-    return members.unionByName(heads).groupBy("a", "part").applyInArrow(_linked, "a binary, b binary")
+    dealt = members.unionByName(heads).repartition(_parts(docs.sparkSession), "a", "part")
+    dealt = dealt.sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    found = materialize(dealt.mapInArrow(_linked, "a binary, b binary"), "links")
+    discard(sets)
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, label (its component's smallest node) of every node of the edges (a, b).
 
-    Each round points every node to its least neighbour, shortens the pointers to their ends, and contracts.
+    Each round points every node to its least neighbour, shortens the pointers to their ends, and contracts. A
+    table that a round replaces is deleted.
     """
     edges = materialize(edges.select("a", "b").where(F.col("a") != F.col("b")).distinct(), "edges")
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     labels = materialize(nodes.select("node", F.col("node").alias("label")), "labels")
     while not edges.isEmpty():
         both = edges.union(edges.select("b", "a"))
-        up = both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("to"))
+        up = both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("to"), F.lit(True).alias("moved"))
         up = materialize(up, "pointers")
         while True:
             further = up.select(F.col("a").alias("to"), F.col("to").alias("next"))
-            jumped = up.join(further, "to").select("a", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved"))
+            jumped = up.select("a", "to").join(further, "to").select("a", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved"))
             jumped = materialize(jumped, "pointers")
-            moved = not jumped.where("moved").isEmpty()
-            up = jumped.select("a", "to")
-            if not moved:
+            discard(up)
+            up = jumped
+            if up.where("moved").isEmpty():
                 break
         a, b = up.select("a", F.col("to").alias("new_a")), up.select(F.col("a").alias("b"), F.col("to").alias("new_b"))
-        edges = edges.join(a, "a").join(b, "b").select(F.col("new_a").alias("a"), F.col("new_b").alias("b"))
-        edges = materialize(edges.where(F.col("a") != F.col("b")).distinct(), "edges")
-        labels = labels.join(a.withColumnRenamed("a", "label"), "label", "left")
-        labels = materialize(labels.select("node", F.coalesce("new_a", "label").alias("label")), "labels")
+        fewer = edges.join(a, "a").join(b, "b").select(F.col("new_a").alias("a"), F.col("new_b").alias("b"))
+        fewer = materialize(fewer.where(F.col("a") != F.col("b")).distinct(), "edges")
+        renamed = labels.join(a.withColumnRenamed("a", "label"), "label", "left")
+        renamed = materialize(renamed.select("node", F.coalesce("new_a", "label").alias("label")), "labels")
+        discard(edges, labels, up)
+        edges, labels = fewer, renamed
     return labels
 
 
@@ -324,110 +434,177 @@ def _levels(bits: list[bytes]) -> tuple[np.ndarray, dict[int, np.ndarray]]:
     return size, out
 
 
-def _compared(mode: str):
-    """head, a, b of pairs of one cell whose sketches allow a link and whose components differ.
-
-    The last row's rest tells whether more such pairs may be left, so that the head needs another comparison.
-    star: each member that no earlier member took takes all that may link with it, so there are fewer pairs than members.
-    nearest: each member with its nearest of each other component. all: every pair.
-    """
-
-    def work(cell: pa.Table) -> pa.Table:
-        cls, label = cell.column("cls").to_pylist(), np.unique(cell.column("label").to_pylist(), return_inverse=True)[1]
-        n, side = cell.column("n").to_numpy(), cell.column("side").to_numpy()
-        size, words = _levels(cell.column("data").to_pylist())
-        free, out, rest = np.ones(len(cls), bool), set(), 0
-        for i in np.lexsort((cls, size)) if mode == "star" else range(len(cls)):
-            if mode == "star" and not free[i]:
-                continue
-            other = (label != label[i]) & (size >= size[i]) & (side * side[i] <= 0)
-            if mode == "star":
-                other &= free
-            other &= (OF * n >= AT_LEAST * n[i]) & (OF * n[i] >= AT_LEAST * n)
-            other = np.flatnonzero(other)
-            if not len(other):
-                continue
-            own = words[int(size[i])]
-            apart = np.bitwise_count(own[other] ^ own[i]).sum(axis=1, dtype=np.int64)
-            slack = (n[other] + n[i]) * (OF - AT_LEAST) // (OF + AT_LEAST) - apart
-            other, slack = other[slack >= 0], slack[slack >= 0]
-            if mode == "star":
-                free[other] = False
-            elif mode == "nearest" and len(other):
-                order = np.lexsort((-slack, label[other]))
-                near = other[order][np.r_[True, np.diff(label[other[order]]) != 0]]
-                rest += len(other) - len(near)
-                other = near
-            out |= {(min(cls[i], cls[j]), max(cls[i], cls[j])) for j in other}
-        if mode == "star":
-            rest = len(out)  # where no pair passes, all have been compared
-        pairs = sorted(out)
-        a, b, head = [x for x, _ in pairs], [x for _, x in pairs], cell.column("head")[0].as_py()
-        cols = [pa.array([head] * (len(a) + 1), pa.int64()), pa.array([*a, None], pa.binary()), pa.array([*b, None], pa.binary())]
-        return pa.table([*cols, pa.array([0] * len(a) + [rest], pa.int64())], ["head", "a", "b", "rest"])
-
-    return work
-
-
-def _cells(members: DataFrame) -> DataFrame:
-    """members: head, cls, label. Deals each head's members to cells of bounded size, one for each two chunks."""
-    size = members.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("chunks"))
-    own = members.join(size, "head")
-    own = own.withColumn("c", F.pmod(F.xxhash64("cls", "head"), F.col("chunks")).cast("int"))
-    own = own.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    return own.select(
-        "head", F.least("c", "o").alias("x"), F.greatest("c", "o").alias("y"), "cls", "label",
-        F.when(F.col("c") == F.col("o"), 0).when(F.col("c") < F.col("o"), -1).otherwise(1).alias("side"),
+def _may_link(n: np.ndarray, size: np.ndarray, words: dict, i: int, other: np.ndarray) -> np.ndarray:
+    """Those of the places other that sizes and sketches allow to link with place i; their slack beside them."""
+    other = other[(OF * n[other] >= AT_LEAST * n[i]) & (OF * n[i] >= AT_LEAST * n[other])]
+    if not len(other):
+        return other
+    apart = np.empty(len(other), np.int64)
+    level = np.minimum(size[other], size[i])
+    for k in np.unique(level):
+        at = np.flatnonzero(level == k)
+        own = words[int(k)]
+        apart[at] = np.bitwise_count(own[other[at]] ^ own[i]).sum(axis=1, dtype=np.int64)
+    return other[(n[other] + n[i]) * (OF - AT_LEAST) // (OF + AT_LEAST) >= apart]
+
+
+def _star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """head, a, b: in each chunk, members in order of size take all later ones that may link and that none took yet."""
+    out: list[tuple] = []
+    for rows in _groups(batches, ["head", "chunk"]):
+        n = np.array([r["n"] for r in rows])
+        size, words = _levels([r["bits"] for r in rows])
+        free = np.ones(len(rows), bool)
+        for i in np.lexsort(([r["cls"] for r in rows], n)):
+            if free[i]:
+                free[i] = False
+                took = _may_link(n, size, words, i, np.flatnonzero(free))
+                free[took] = False
+                out += [(rows[0]["head"], *sorted((rows[i]["cls"], rows[j]["cls"]))) for j in took]
+        if len(out) > 10_000:
+            yield from _pairs_out(out, ["head", "a", "b"], [pa.int64(), pa.binary(), pa.binary()])
+            out = []
+    yield from _pairs_out(out, ["head", "a", "b"], [pa.int64(), pa.binary(), pa.binary()])
+
+
+def _across(rows: list[dict]):
+    """n, sizes, words, and for each place of the left side the places of the right with another label."""
+    n, side = np.array([r["n"] for r in rows]), np.array([r["side"] for r in rows])
+    label = np.unique([r["label"] for r in rows], return_inverse=True)[1]
+    size, words = _levels([r["bits"] for r in rows])
+    minor = np.array([r["minor"] for r in rows])
+    for i in np.flatnonzero((side <= 0) & minor):
+        other = np.flatnonzero((side >= 0) & (label != label[i]))
+        yield i, _may_link(n, size, words, i, other), label
+
+
+def _noted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """head, cls of the members of each cell that may link with one of another label: at most a row a member."""
+    out: list[tuple] = []
+    for rows in _groups(batches, ["head", "x", "y"]):
+        own = np.zeros(len(rows), bool)
+        for i, other, _ in _across(rows):
+            if len(other):
+                own[i] = own[other] = True
+        out += sorted({(rows[0]["head"], rows[i]["cls"]) for i in np.flatnonzero(own)})
+        if len(out) > 10_000:
+            yield from _pairs_out(out, ["head", "cls"], [pa.int64(), pa.binary()])
+            out = []
+    yield from _pairs_out(out, ["head", "cls"], [pa.int64(), pa.binary()])
+
+
+def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b of links, by the sets, that join the labels of each cell: fewer than it has members."""
+    out: list[tuple] = []
+    for rows in _groups(batches, ["head", "x", "y"]):
+        sets = [np.frombuffer(r["data"], np.uint64) for r in rows]
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while x in up:  # noqa: B023
+                x = up[x]  # noqa: B023
+            return x
+
+        for i, other, label in _across(rows):
+            for j in other:
+                p, q = root(int(label[i])), root(int(label[j]))
+                if p != q and links(sets[i], sets[j]):
+                    up[p] = q
+                    out.append(tuple(sorted((rows[i]["cls"], rows[j]["cls"]))))
+        if len(out) > 10_000:
+            yield from _pairs_out(out, ["a", "b"], [pa.binary()] * 2)
+            out = []
+    yield from _pairs_out(out, ["a", "b"], [pa.binary()] * 2)
+
+
+def _spread(members: DataFrame, sizes: DataFrame, cell: int) -> DataFrame:
+    """members with the left and right chunks of their head: 1 and 1 unless it is large. sizes: head, minors, total."""
+    large = sizes.where(F.col("total") > cell).select(
+        "head", F.greatest(F.lit(1), F.ceil(F.col("minors") / cell)).cast("int").alias("xs"), F.ceil(F.col("total") / cell).cast("int").alias("ys")
     )
+    large = materialize(large, "large")  # a row for each cell full of members, at most
+    large = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
+    own = members.join(large, "head", "left")
+    return own.withColumn("xs", F.coalesce("xs", F.lit(1))).withColumn("ys", F.coalesce("ys", F.lit(1)))
 
 
-def near_classes(docs: DataFrame, table: DataFrame) -> DataFrame:
-    """node, label of the classes that link with another; docs: doc_id, text; table: set_table(docs)."""
+def _cells(members: DataFrame, cell: int, parts: int) -> DataFrame:
+    """members: head, cls, label, and more. Deals each head's members to cells (x, y) of bounded size.
+
+    The members outside a head's largest component are minor: they are the left side, and all are the right.
+    Where one cell holds a head, its members are there once, for both sides.
+    """
+    held = members.groupBy("head", "label").agg(F.count(F.lit(1)).alias("n"))
+    largest = held.groupBy("head").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("total"))
+    largest = largest.select("head", F.col("m.label").alias("_largest"), F.col("total"), (F.col("total") - F.col("m.n")).alias("minors"))
+    largest = materialize(largest, "heads-open")
+    own = members.join(largest.select("head", "_largest"), "head").withColumn("minor", F.col("label") != F.col("_largest")).drop("_largest")
+    own = _spread(own, largest.select("head", "minors", "total"), cell)
+    one = (F.col("xs") == 1) & (F.col("ys") == 1)
+    at = F.xxhash64("cls", "head")
+    left = F.transform(F.sequence(F.lit(0), F.col("ys") - 1), lambda j: F.struct(F.pmod(at, F.col("xs")).cast("int").alias("x"), j.alias("y"), F.lit(-1).alias("side")))
+    right = F.transform(F.sequence(F.lit(0), F.col("xs") - 1), lambda i: F.struct(i.alias("x"), F.pmod(at, F.col("ys")).cast("int").alias("y"), F.lit(1).alias("side")))
+    none = F.struct(F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("side"))
+    places = F.when(one, F.array(none)).when(F.col("minor"), F.concat(left, right)).otherwise(right)
+    own = own.withColumn("_at", F.explode(places)).select("*", "_at.x", "_at.y", "_at.side").drop("_at", "xs", "ys")
+    return own.repartition(parts, "head", "x", "y").sortWithinPartitions("head", "x", "y")
+
+
+def near_classes(docs: DataFrame, table: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The classes (cls, tag, first_id, n, bits), and node, label of those that link with another."""
+    spark = docs.sparkSession
     total = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    posted = post(docs, parts := int(max(8, total * 3 // 4 // PART)))
+    posted = post(docs, parts := int(max(8, total // 3 // PART)), frequent(counts))
     heads = posted.repartition(parts, "part").groupBy("part").applyInArrow(_buckets, "head long, tag long").distinct()
     heads = materialize(heads, "heads")
-    release(docs.sparkSession)
+    release(spark)
     classes = table.where(F.col("cls").isNotNull() & F.col("doc_id").isNotNull()).groupBy("cls")
-    classes = materialize(classes.agg(F.min("doc_id").alias("first_id")), "classes")
+    classes = classes.agg(F.min("doc_id").alias("first_id"), F.min("n").alias("n"), F.min("bits").alias("bits"))
     tag = F.conv(F.concat(*[F.substring(F.hex("cls"), 2 * i + 1, 2) for i in reversed(range(5))]), 16, 10).cast("long")
-    members = heads.join(classes.withColumn("tag", tag), "tag").select("head", "cls", "first_id")
-    members = materialize(members, "members")
-    bits = materialize(lookup(docs, members.select("cls", "first_id").distinct(), sketch=True), "sketches")
-    links = labels = None
-    for mode in ("star", "nearest", "all"):
-        if labels is None:
-            left = members.select("head", "cls", F.col("cls").alias("label"))
-        else:
-            named = members.join(labels, F.col("cls") == F.col("node"), "left")
-            named = named.select("head", "cls", F.coalesce("label", "cls").alias("label"))
-            named = named.join(todo, "head", "left_semi")
-            open_ = named.groupBy("head").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-            left = named.join(open_.select("head"), "head", "left_semi")
-        cells = _cells(materialize(left, "open")).join(bits, "cls")
-        found = cells.groupBy("head", "x", "y").applyInArrow(_compared(mode), "head long, a binary, b binary, rest long")
-        found = materialize(found, "compared")
-        new = verified(found.where(F.col("a").isNotNull()).select("a", "b").distinct(), docs, classes)
-        links = materialize(new if links is None else links.unionByName(new), "links")
-        release(docs.sparkSession)
-        labels = components(links)
-        todo = found.where("rest > 0").select("head").distinct()
-        if todo.isEmpty():
-            break
-    return labels
+    classes = materialize(classes.withColumn("tag", tag), "classes")
+    members = materialize(heads.join(classes.select("tag", "cls", "n", "bits"), "tag"), "members")
+    discard(heads)
+    sizes = members.groupBy("head").agg(F.count(F.lit(1)).alias("total")).withColumn("minors", F.lit(0))
+    chunked = _spread(members, sizes, CELL).withColumn("_own", F.pmod(F.xxhash64("cls", "head"), F.col("ys")).cast("int"))
+    all_ = F.sequence(F.lit(0), F.col("ys") - 1)  # the head's own class is in every chunk
+    chunked = chunked.withColumn("chunk", F.explode(F.when(F.col("tag") == F.col("head"), all_).otherwise(F.array("_own"))))
+    dealt = chunked.select("head", "chunk", "cls", "n", "bits").repartition(_parts(spark), "head", "chunk").sortWithinPartitions("head", "chunk")
+    found = materialize(dealt.mapInArrow(_star, "head long, a binary, b binary"), "compared")
+    links = verified(found.select("a", "b").distinct(), docs, classes)
+    labels = components(links)
+    release(spark)
+    # heads that may hold another link: those with pairs, and those whose members were not all in one chunk
+    again = found.select("head").union(sizes.where(F.col("total") > CELL).select("head")).distinct()
+    named = members.join(again, "head", "left_semi").join(labels, F.col("cls") == F.col("node"), "left")
+    named = named.select("head", "cls", "n", "bits", F.coalesce("label", "cls").alias("label"))
+    named = materialize(named, "named")
+    open_ = named.groupBy("head").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("head")
+    left = _cells(named.join(open_, "head", "left_semi"), CELL, _parts(spark))
+    noted = materialize(left.mapInArrow(_noted, "head long, cls binary").distinct(), "noted")
+    if not noted.isEmpty():
+        sets = lookup(docs, noted.select("cls").distinct().join(classes.select("cls", "first_id"), "cls"))
+        sets = materialize(sets, "sets")
+        last = _cells(named.join(noted, ["head", "cls"], "left_semi"), EXACT, _parts(spark))
+        last = last.join(sets, "cls").repartition(_parts(spark), "head", "x", "y").sortWithinPartitions("head", "x", "y")
+        more = materialize(last.mapInArrow(_exact, "a binary, b binary"), "links")
+        if not more.isEmpty():
+            discard(labels)
+            labels = components(links.unionByName(more))
+        discard(sets)
+    discard(members, found, named, noted)
+    return classes, labels
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table = materialize(set_table(own), "sets-of-docs")
-    labels = near_classes(own, table)
-    known = table.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("first_id"))
-    known = known.join(labels, F.col("cls") == F.col("node"), "left").select("cls", "first_id", F.coalesce("label", "cls").alias("label"))
-    known = materialize(known, "classes")
+    table, counts = set_table(own)
+    classes, labels = near_classes(own, table, counts)
+    known = classes.select("cls", "first_id").join(labels, F.col("cls") == F.col("node"), "left")
+    known = materialize(known.select("cls", "first_id", F.coalesce("label", "cls").alias("label")), "known")
     least = known.groupBy("label").agg(F.min("first_id").alias("component_id"))
     named = known.join(least, "label").select("cls", "component_id")
-    out = table.join(named, "cls", "left")
+    out = table.select("doc_id", "n", "cls").join(named, "cls", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.cast("long").alias("component_id"))
 

@@ -76,12 +76,43 @@ def test_odd_rows(spark, monkeypatch):
     rows = [(None, "a b c d e f"), (1, None), (2, ""), (3, " \t"), (4, "x"), (5, "X"), (6, "a b c d e f"), (6, "a b c d e f"), (7, "A b C d e f"), (8, "É b c d e f"), (9, "é b c d e f")]
     rows += [(20 + i, " ".join(changed(rng, base, 0.01 * (i % 3)))) for i in range(90)]
     monkeypatch.setattr(parity_join, "CELL", 20)  # many cells and groups
+    monkeypatch.setattr(parity_join, "EXACT", 9)
+    monkeypatch.setattr(parity_join, "NOTED", 2)
     monkeypatch.setattr(parity_join, "MEMBERS", 7)
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, parity_join.near_duplicates(frame).collect()), key=repr) == plain(rows)
     assert parity_join.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_large_groups(spark, monkeypatch):
+    """Near copies by the thousand, and a passage that a third of the rows share: all links, and few rows on the way."""
+    rng, made = random.Random(3), []
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base, passage = [word() for _ in range(60)], [word() for _ in range(40)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 2_500):  # one word of 60 changed: 51 of 61 shingles shared with the base
+        own = list(base)
+        own[rng.randrange(60)] = word()
+        rows.append((i, " ".join(own)))
+    rows += [(10_000 + i, " ".join(passage + [word() for _ in range(50)])) for i in range(1_500)]
+    rows += [(20_000 + i, " ".join(word() for _ in range(50))) for i in range(500)]
+    monkeypatch.setattr(parity_join, "CELL", 300)
+    for name in ("verified", "components"):
+        own = getattr(parity_join, name)
+        monkeypatch.setattr(parity_join, name, lambda frame, *rest, own=own: made.append(frame.count()) or own(frame, *rest))
+    got = {r.doc_id: r.component_id for r in parity_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 0 if i < 2_500 else i for i, _ in rows}
+    assert max(made) < 20 * len(rows)
+
+
+def test_long_words():
+    a, b = "Ab" * 3_000, "ab" * 3_000
+    assert parity_join.word_hashes(f"x {a} y").tolist() == parity_join.word_hashes(f"x {b} y").tolist()
+    bits = [bin(i).count("1") % 2 for i in range(4_096)]  # a word and its complement, which a polynomial modulo 2^64 confuses
+    one, two = "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+    assert parity_join.word_hashes(one)[0] != parity_join.word_hashes(two)[0]
+
+
 def test_pigeonhole_and_bounds():
     """Linked sets share a posted block, and sketches never exaggerate the difference."""
     rng = np.random.default_rng(3)
@@ -93,6 +124,9 @@ def test_pigeonhole_and_bounds():
         both, apart = len(np.intersect1d(a, b)), len(np.setxor1d(a, b))
         if 100 * both >= 75 * (both + apart) and apart:
             assert len(np.intersect1d(parity_join.posted_blocks(a), parity_join.posted_blocks(b)))
+            known = np.unique(np.r_[shared[::2], extra[0][::3]])
+            hot = (known, rng.integers(1, 9, len(known)).astype(np.int8))
+            assert len(np.intersect1d(parity_join.posted_blocks(a, hot), parity_join.posted_blocks(b, hot)))
         size, words = parity_join._levels([parity_join.bit_sketch(a), parity_join.bit_sketch(b)])
         w = words[int(size.min())]
         assert np.bitwise_count(w[0] ^ w[1]).sum() <= apart
