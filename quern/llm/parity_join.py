@@ -52,7 +52,7 @@ PART, FLUSH = 400_000, 2_000_000
 #: Shingles that so many classes of a flush share are counted, and so many of the most frequent order the blocks.
 NOTED, HOT = 8, 200_000
 #: Rows of one chunk of a comparison cell, by bit sketches and by sets, and of a group to verify, about.
-CELL, EXACT, MEMBERS = 1_024, 512, 256
+CELL, EXACT, MEMBERS = 512, 512, 256
 #: Classes to look up, or large heads, that are broadcast (32 bytes each); more are joined by shuffle.
 BROADCAST_ROWS = 300_000
 #: Bytes of a word beyond which it is hashed by xxhash.
@@ -251,12 +251,7 @@ def post(docs: DataFrame, parts: int, hot: tuple[np.ndarray, np.ndarray] = NONE)
         name, tag, part = name[order], tag[order], part[order]
         fresh = np.r_[True, (name[1:] != name[:-1]) | (tag[1:] != tag[:-1])]
         name, tag, part = name[fresh], tag[fresh], part[fresh]
-        five = lambda x: np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :5])
-        a, b = five(name), five(tag)
-        starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-        ends = np.r_[starts[1:], len(part)]
-        cut = lambda x: pa.array([x[s:e].tobytes() for s, e in zip(starts, ends)], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(part[starts].astype(np.int32)), cut(a), cut(b)], ["part", "names", "tags"])
+        return pa.RecordBatch.from_arrays(_cut(part, name, tag), ["part", "names", "tags"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, tags, held, known = [], [], 0, shared.value
@@ -276,16 +271,32 @@ def post(docs: DataFrame, parts: int, hot: tuple[np.ndarray, np.ndarray] = NONE)
     return docs.where(F.col("doc_id").isNotNull()).mapInArrow(work, "part int, names binary, tags binary")
 
 
-def _buckets(cell: pa.Table) -> pa.Table:
-    """head, tag: each bucket's least tag beside every tag of the bucket, in one part of the bucket table."""
+def _five(x: np.ndarray) -> np.ndarray:
+    """The first five bytes of each."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
 
-    def wide(column: str) -> np.ndarray:
-        raw = np.frombuffer(b"".join(cell.column(column).to_pylist()), np.uint8).reshape(-1, 5)
-        out = np.zeros((len(raw), 8), np.uint8)
-        out[:, :5] = raw
-        return out.view(np.uint64).ravel()
 
-    name, tag = wide("names"), wide("tags").astype(np.int64)
+def _wide(column) -> np.ndarray:
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 5)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :5] = raw
+    return out.view(np.uint64).ravel()
+
+
+def _cut(part: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[pa.Array]:
+    """One row of packed numbers for each part; part ascends."""
+    starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+    ends = np.r_[starts[1:], len(part)]
+    cut = lambda x: pa.array([x[s:e].tobytes() for s, e in zip(starts, ends)], pa.binary())
+    return [pa.array(part[starts].astype(np.int32)), cut(_five(a)), cut(_five(b))]
+
+
+def _buckets(cell: pa.Table, parts: int) -> pa.Table:
+    """part, heads, tags: each bucket's least tag beside every tag of the bucket, in one part of the bucket table.
+
+    Buckets of two near copies are in many parts of that table, so pairs are packed and dealt again by their head.
+    """
+    name, tag = _wide(cell.column("names")), _wide(cell.column("tags")).astype(np.int64)
     order = np.lexsort((tag, name))
     name, tag = name[order], tag[order]
     fresh = np.ones(len(name), bool)
@@ -297,28 +308,67 @@ def _buckets(cell: pa.Table) -> pa.Table:
     size = np.diff(np.r_[starts, len(name)])
     head = np.repeat(tag[starts], size)
     many = np.repeat(size > 1, size)
-    pairs = np.unique(np.stack([head[many], tag[many]]), axis=1)
-    return pa.table({"head": pairs[0], "tag": pairs[1]})
+    head, tag = head[many], tag[many]
+    part = (_mixed(head.view(np.uint64)) >> _U32).astype(np.int64) * parts >> 32
+    order = np.lexsort((tag, head, part))
+    part, head, tag = part[order], head[order], tag[order]
+    fresh = np.r_[True, (head[1:] != head[:-1]) | (tag[1:] != tag[:-1])][: len(head)]
+    cols = _cut(part[fresh], head[fresh], tag[fresh]) if len(head) else [pa.array([], k) for k in (pa.int32(), pa.binary(), pa.binary())]
+    return pa.table(cols, ["part", "heads", "tags"])
+
+
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """head, tag, each once, of the packed pairs in one partition."""
+    both = [np.zeros((2, 0), np.int64)]
+    for b in batches:
+        both.append(np.stack([_wide(b.column("heads")), _wide(b.column("tags"))]).astype(np.int64))
+        if sum(x.shape[1] for x in both) > FLUSH:
+            both = [np.unique(np.concatenate(both, axis=1), axis=1)]
+    head, tag = np.unique(np.concatenate(both, axis=1), axis=1)
+    for low in range(0, len(head), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(head[low : low + 50_000]), pa.array(tag[low : low + 50_000])], ["head", "tag"])
 
 
-def lookup(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cls, data of the wanted classes (cls, first_id): the packed hashes, from one document each."""
+def bucket_heads(posted: DataFrame, parts: int) -> DataFrame:
+    """head, tag of every class that shares a posted block with another."""
+    wide = "part int, heads binary, tags binary"
+    packed = posted.repartition(parts, "part").groupBy("part").applyInArrow(lambda cell: _buckets(cell, parts), wide)
+    return packed.repartition(parts, "part").mapInArrow(_heads, "head long, tag long")
+
+
+def lookup(docs: DataFrame, wanted: DataFrame, roles: DataFrame | None = None) -> DataFrame:
+    """cls, data of the wanted classes (cls, first_id): the packed hashes, from one document each.
+
+    With roles (cls, a, part, b) instead a, part, b, data: every role beside its class's data.
+    """
     wanted = wanted.select(F.col("cls").alias("_c"), F.col("first_id").alias("_first"))
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted.hint("shuffle_hash")
+    if roles is not None:
+        own = roles.groupBy(F.col("cls").alias("_c")).agg(F.collect_list(F.struct("a", "part", "b")).alias("_roles"))
+        wanted = wanted.join(own, "_c")
+    few = wanted.count() <= BROADCAST_ROWS and (roles is None or roles.count() <= BROADCAST_ROWS)
+    wanted = F.broadcast(wanted) if few else wanted.hint("shuffle_hash")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for low in range(0, b.num_rows, 500):
-                part, rows = b.slice(low, 500), {}
-                for text, cls in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+            for low in range(0, b.num_rows, 100):
+                part, rows = b.slice(low, 100), []
+                own_roles = part.column(2).to_pylist() if roles_too else [None] * part.num_rows
+                for text, cls, own_role in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), own_roles):
                     own = shingles(text)
                     if class_of(own) == cls:  # an id may have other texts
-                        rows[cls] = own.tobytes()
+                        data = own.tobytes()
+                        rows += [(r["a"], r["part"], r["b"], data) for r in own_role] if roles_too else [(cls, data)]
+                    while len(rows) >= 200:
+                        yield out(rows[:200])
+                        rows = rows[200:]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows.items())], ["cls", "data"])
+                    yield out(rows)
 
-    near = docs.join(wanted, F.col("doc_id") == F.col("_first")).select("text", "_c")
-    return near.mapInArrow(work, "cls binary, data binary").dropDuplicates(["cls"])
+    names, kinds = (["a", "part", "b", "data"], [pa.binary(), pa.int32(), pa.binary(), pa.binary()]) if roles is not None else (["cls", "data"], [pa.binary()] * 2)
+    roles_too = roles is not None
+    out = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+    near = docs.join(wanted, F.col("doc_id") == F.col("_first")).select("text", "_c", *(["_roles"] if roles_too else []))
+    return near.mapInArrow(work, "a binary, part int, b binary, data binary" if roles_too else "cls binary, data binary")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[list[dict]]:
@@ -370,18 +420,19 @@ def _parts(spark: SparkSession) -> int:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) that link, by their sets. A group is one a with at most about MEMBERS of its b."""
-    nodes = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    sets = materialize(lookup(docs, nodes.join(classes.select("cls", "first_id"), "cls")), "sets")
+    """Those of the pairs (a, b) that link, by their sets. A group is one a with at most about MEMBERS of its b.
+
+    Sets go straight from the texts to their groups, and are shuffled once.
+    """
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("parts"))
-    own = pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))
-    members = own.join(sets, F.col("b") == F.col("cls")).select("a", "part", "b", "data")
-    heads = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    heads = heads.join(sets, F.col("a") == F.col("cls")).select("a", "part", F.lit(None).cast("binary").alias("b"), "data")
-    dealt = members.unionByName(heads).repartition(_parts(docs.sparkSession), "a", "part")
+    own = pairs.join(parts, "a").select(F.col("b").alias("cls"), "a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
+    heads = parts.select(F.col("a").alias("cls"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("binary").alias("b"))
+    roles = materialize(own.unionByName(heads), "roles")
+    wanted = roles.select("cls").distinct().join(classes.select("cls", "first_id"), "cls")
+    dealt = lookup(docs, wanted, roles).repartition(_parts(docs.sparkSession), "a", "part")
     dealt = dealt.sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
     found = materialize(dealt.mapInArrow(_linked, "a binary, b binary"), "links")
-    discard(sets)
+    discard(roles)
     return found
 
 
@@ -555,8 +606,7 @@ def near_classes(docs: DataFrame, table: DataFrame, counts: DataFrame) -> tuple[
     spark = docs.sparkSession
     total = table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     posted = post(docs, parts := int(max(8, total // 3 // PART)), frequent(counts))
-    heads = posted.repartition(parts, "part").groupBy("part").applyInArrow(_buckets, "head long, tag long").distinct()
-    heads = materialize(heads, "heads")
+    heads = materialize(bucket_heads(posted, parts), "heads")
     release(spark)
     classes = table.where(F.col("cls").isNotNull() & F.col("doc_id").isNotNull()).groupBy("cls")
     classes = classes.agg(F.min("doc_id").alias("first_id"), F.min("n").alias("n"), F.min("bits").alias("bits"))
