@@ -22,7 +22,6 @@ where labels repeat an id the larger label counts; an empty table gives no rows;
 from __future__ import annotations
 
 import re
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.session import materialize
+
 PER_CLASS, TRAIN_CHARS = 2_000, 30_000
 #: A word is known by itself and by its first so many letters.
 STEMS = (4, 5, 6, 8)
@@ -66,49 +67,82 @@ def sentences(text: str) -> tuple[list[list[str]], list[tuple[int, int]]]:
             own = []
         else:
             first = m.start() if not own else first
-            own, last = [*own, m[0].lower()] if not own else own + [m[0].lower()], m.end()
+            own.append(m[0].lower())
+            last = m.end()
     if own:
         words.append(own), spans.append((first, last))
     return words, spans
 
 
-def fit(texts: list[str], labels: list[int]) -> Model:
-    """Noisy-or maximum likelihood with an l1 penalty, by Adam with a proximal step, from zero weights."""
-    number: dict[str, int] = {}
-    flat, lengths, docs = array("i"), array("i"), array("i")  # every token's word; every sentence's tokens and text
-    seen = (Counter(), Counter())
-    for d, (t, label) in enumerate(zip(texts, labels)):
-        own = set()
-        for s in re.split(r"[.!?\n]", t.lower()):
-            if found := _TOKEN.findall(s):
-                flat.extend([number.setdefault(w, len(number)) for w in found])
-                lengths.append(len(found))
-                docs.append(d)
-                own.update(found)
-        seen[label].update({x for w in own for x in parts_of(w)})
+def features(text: str) -> set[str]:
+    """The text's words and stems."""
+    return {x for w in set(_TOKEN.findall(text.lower())) - _STOPS for x in parts_of(w)}
+
+
+class _Known(dict):
+    """Word to the numbers of its parts that can have a weight; None for what ends a sentence."""
+
+    def __init__(self, vocab: dict[str, int]):
+        self.vocab = vocab
+        self.update(dict.fromkeys(_STOPS))
+
+    def __missing__(self, word: str) -> list[int]:
+        if len(self) > 400_000:
+            self.clear()
+            self.update(dict.fromkeys(_STOPS))
+        self[word] = own = [self.vocab[x] for x in parts_of(word) if x in self.vocab]
+        return own
+
+
+def bag(text: str, known: _Known) -> tuple[int, list[int], list[int]]:
+    """How many sentences have no such part; of the others how many parts each has, and all their parts."""
+    plain, sizes, parts, held, any_word = 0, [], [], 0, False
+    for own in [*map(known.__getitem__, _TOKEN.findall(text.lower())), None]:
+        if own is not None:
+            any_word = True
+            if own:
+                parts += own
+                held += len(own)
+        elif any_word:
+            if held:
+                sizes.append(held)
+            else:
+                plain += 1
+            held, any_word = 0, False
+    return plain, sizes, parts
+
+
+def chosen(seen: tuple[dict[str, int], dict[str, int]], clean: int, toxic: int) -> dict[str, int]:
+    """Numbers of the parts that can have a weight. seen: by label, in how many texts a part is."""
+    clean, toxic = max(1, clean), max(1, toxic)
+    own = sorted(x for x, n in seen[1].items() if n + seen[0].get(x, 0) >= LEAST_DOCS and n * clean >= ODDS * seen[0].get(x, 0) * toxic)
+    return {x: i for i, x in enumerate(own)}
+
+
+def fit_bags(bags: list[tuple[int, list[int], list[int]]], labels: list[int], vocab: dict[str, int]) -> Model:
+    """Noisy-or maximum likelihood with an l1 penalty, by Adam with a proximal step, from zero weights.
+
+    Sentences without a part are alike, so a text has only their number.
+    """
     y = np.asarray(labels)
-    clean, toxic = max(1, (y == 0).sum()), max(1, (y == 1).sum())
-    own = sorted(x for x, n in seen[1].items() if n + seen[0][x] >= LEAST_DOCS and n * clean >= ODDS * seen[0][x] * toxic)
-    vocab = {x: i for i, x in enumerate(own)}
     if not vocab or len(set(labels)) < 2:
         return Model({}, SHARP * BIAS)
-    known = [[vocab[x] for x in parts_of(w) if x in vocab] for w in number]
-    size = np.array([len(k) for k in known])
-    first, each = np.cumsum(size) - size, np.array([i for k in known for i in k], dtype=np.int64)
-    flat, doc_of = np.array(flat), np.array(docs)
-    n = size[flat]
-    sent_of = np.repeat(np.repeat(np.arange(len(doc_of)), np.array(lengths)), n)
-    word_of = each[np.repeat(first[flat] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+    plain = np.array([b[0] for b in bags], np.float64)
+    doc_of = np.repeat(np.arange(len(y)), [len(b[1]) for b in bags])
+    sent_of = np.repeat(np.arange(len(doc_of)), np.concatenate([np.asarray(b[1], np.int64) for b in bags]))
+    word_of = np.concatenate([np.asarray(b[2], np.int64) for b in bags])
     theta, bias, n_sent = np.zeros(len(vocab)), BIAS, len(doc_of)
     m, v = np.zeros(len(vocab) + 1), np.zeros(len(vocab) + 1)
     share = np.where(y == 1, 1 / max(1, (y == 1).sum()), 1 / max(1, (y == 0).sum())) / 2  # the classes weigh alike
+    chance = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     for r in range(1, ROUNDS + 1):
         z = np.bincount(sent_of, theta[word_of], n_sent) + bias
-        p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-        mass = np.bincount(doc_of, np.logaddexp(0, z), len(y))  # -log of the chance that no sentence is toxic
+        # -log of the chance that no sentence is toxic
+        mass = np.bincount(doc_of, np.logaddexp(0, z), len(y)) + plain * np.logaddexp(0, bias)
         pull = np.where(y == 1, -1 / np.expm1(np.clip(mass, 1e-9, 50)), 1.0) * share
-        g_z = np.clip(pull[doc_of] * p, -1, 1)
-        grad = np.append(np.bincount(word_of, g_z[sent_of], len(vocab)), g_z.sum())
+        g_z = np.clip(pull[doc_of] * chance(z), -1, 1)
+        g_plain = (np.clip(pull * chance(bias), -1, 1) * plain).sum()
+        grad = np.append(np.bincount(word_of, g_z[sent_of], len(vocab)), g_z.sum() + g_plain)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         step = RATE * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.99**r)) + 1e-8)
         theta = theta - step[:-1]
@@ -117,6 +151,16 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     return Model({w: SHARP * float(theta[i]) for w, i in vocab.items() if abs(theta[i]) > 1e-3}, SHARP * float(bias))
 
 
+def fit(texts: list[str], labels: list[int]) -> Model:
+    """A model from texts on one machine; train() does the same with the texts where they are."""
+    seen = (Counter(), Counter())
+    for t, label in zip(texts, labels):
+        seen[label].update(features(t))
+    vocab = chosen(seen, labels.count(0), labels.count(1))
+    known = _Known(vocab)
+    return fit_bags([bag(t, known) for t in texts], labels, vocab)
+
+
 class _Weights(dict):
     """A word's weight with its stems', remembered within a bound; nan for what ends a sentence."""
 
@@ -206,11 +250,50 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, per_
     return own.select("_did", "text", "label")
 
 
+def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """part, clean, toxic: in how many of the task's texts of each label a part is."""
+    seen = (Counter(), Counter())
+    for b in batches:
+        for text, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist()):
+            seen[label].update(features(text))
+    own = sorted(seen[0].keys() | seen[1].keys())
+    for low in range(0, len(own), 50_000):
+        part = own[low : low + 50_000]
+        counts = [pa.array([s.get(x, 0) for x in part], pa.int64()) for s in seen]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *counts], ["part", "clean", "toxic"])
+
+
 def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held: int = HELD) -> Model:
-    """A model from the labels outside the held fold; none of id, source, language or label enters a score."""
-    rows = sample(docs, labels, "toxic", fold(F.col("_id"), folds) != held, PER_CLASS, TRAIN_CHARS).collect()
-    rows = sorted({(r._did, r.text, r.label) for r in rows})
-    return fit([r[1] for r in rows], [r[2] for r in rows])
+    """A model from the labels outside the held fold; none of id, source, language or label enters a score.
+
+    Executors read the sample's texts; the driver gets the parts that can have a weight, and of each text a count
+    and the numbers of those parts.
+    """
+    rows = sample(docs, labels, "toxic", fold(F.col("_id"), folds) != held, PER_CLASS, TRAIN_CHARS)
+    rows = materialize(rows.dropDuplicates(["_did", "text"]), "toxic-sample")
+    size = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
+    if len(size) < 2:
+        return Model({}, SHARP * BIAS)
+    parts = rows.select("text", "label").mapInArrow(_seen, "part string, clean long, toxic long")
+    parts = parts.groupBy("part").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    parts = parts.where((F.col("clean") + F.col("toxic") >= LEAST_DOCS) & (F.col("toxic") * size[0] >= F.col("clean") * (ODDS * size[1])))
+    found = parts.where("toxic > 0").toArrow()
+    vocab = {x: i for i, x in enumerate(sorted(found.column("part").to_pylist()))}
+    shared = docs.sparkSession.sparkContext.broadcast(vocab)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Known(shared.value)
+        for b in batches:
+            own = [bag(t, known) for t in b.column("text").to_pylist()]
+            ints = pa.list_(pa.int32())
+            cols = [b.column("_did"), b.column("label"), pa.array([x[0] for x in own], pa.int64()), pa.array([x[1] for x in own], ints), pa.array([x[2] for x in own], ints)]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "label", "plain", "sizes", "parts"])
+
+    kept = rows.select(F.col("_did").cast("long").alias("_did"), "label", "text")
+    bags = kept.mapInArrow(work, "id long, label int, plain long, sizes array<int>, parts array<int>").toArrow()
+    bags = bags.take(pa.array(np.lexsort((bags.column("plain").to_numpy(), bags.column("id").to_numpy()))))
+    lists = [c.to_numpy(zero_copy_only=False) if len(bags) else [] for c in (bags.column("sizes").combine_chunks(), bags.column("parts").combine_chunks())]
+    return fit_bags(list(zip(bags.column("plain").to_pylist(), *lists)), bags.column("label").to_pylist(), vocab)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
