@@ -240,7 +240,11 @@ def _recursed(names: np.ndarray, cap: int, folder: str, memory: int) -> tuple[np
 
 
 def repeated_starts(text: np.ndarray, cap: int, memory: int, folder: str | None = None) -> np.ndarray:
-    """Places whose next cap symbols also start at another place."""
+    """Places whose next cap symbols also start at another place.
+
+    Queues spill where Spark's own spills go, which it names to its Python workers, and only within this call.
+    """
+    folder = folder or (os.environ.get("SPARK_LOCAL_DIRS") or "").split(",")[0] or None
     own = tempfile.mkdtemp(prefix="quern-sort-", dir=folder)  # holds the queues for the length of this call
     marks, last = np.zeros(len(text), bool), -1
 

@@ -26,7 +26,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.llm.induced_sort import repeated_starts
@@ -205,8 +204,9 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, shard: i
         F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "fp", "start")).alias("at"),
         F.min("n").alias("n"), F.max("twice").alias("twice"),
     )
-    by_hash = W.partitionBy("least")
-    same = same.withColumn("kinds", F.count(F.lit(1)).over(by_hash))
+    # counted before the shuffle and joined, so a hash with very many contents is not gathered
+    kinds = same.groupBy("least").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    same = same.join(kinds, "least", "left").withColumn("kinds", F.coalesce("kinds", F.lit(1)))
     same = materialize(same.where((F.col("kinds") > 1) | (F.col("copies") > 1) | F.col("twice")), "segments-shared")
     alone = (F.col("kinds") == 1) & ~F.col("twice")  # its only repetitions are its copies
     whole = same.where(alone).select("least", "seg", F.array(F.lit(0).cast("long"), F.col("n")).alias("edges"))
