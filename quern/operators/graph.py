@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.distances import as_metric
 from quern.functions.rng import uniform
-from quern.operators.exact import pair_distances, top_k
+from quern.operators.exact import pair_distances, recall, top_k
 from quern.operators.points import indexed, to_matrix
 
 #: Vectors are broadcast to the distance step up to so many bytes; larger tables are joined.
@@ -106,3 +106,32 @@ def to_lists(edges: DataFrame) -> DataFrame:
     """p, neighbors: ids by ascending distance, without padding."""
     parts = edges.groupBy("p").agg(F.array_sort(F.collect_list(F.struct("dist", "q"))).alias("_l"))
     return parts.select("p", F.col("_l.q").alias("neighbors"))
+
+
+class KNNGraph:
+    """An edge relation with the operations on it as methods; each that changes it gives a new graph."""
+
+    def __init__(self, edges: DataFrame, k: int):
+        self.edges, self.k = edges, k
+
+    @classmethod
+    def random(cls, points: DataFrame, k: int, n: int, dim: int, seed: int = 42, distance="euclidean") -> KNNGraph:
+        return cls(initial_graph(points, k, n, seed, Distances(points, n, dim, distance)), k)
+
+    def update(self, proposed: DataFrame) -> KNNGraph:
+        return KNNGraph(merge(self.edges, proposed, self.k), self.k)
+
+    def mark_all_old(self) -> KNNGraph:
+        return KNNGraph(mark_all_old(self.edges), self.k)
+
+    def neighbors(self, is_new: bool | None = None) -> DataFrame:
+        return neighbors(self.edges, is_new)
+
+    def reverse(self) -> DataFrame:
+        return reverse_edges(self.edges)
+
+    def to_lists(self) -> DataFrame:
+        return to_lists(self.edges)
+
+    def recall(self, truth: DataFrame) -> float:
+        return recall(self.edges, truth).first()["recall"]

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.session import discard, materialize
+
 BASE, BOOST = 1.0, 0.5
 
 
@@ -67,8 +69,49 @@ def candidate_weights(
     return agg.select("v", "c", F.col("_s.u").alias("source"), (F.lit(base) + F.lit(boost) * F.col("_f")).alias("weight"))
 
 
-def top_sources(successes_log: DataFrame, k: int, items: int = 64) -> DataFrame:
-    """v, u, freq: each v's k most frequent sources, estimated by a bounded heavy-hitter sketch per v."""
-    weighted = successes_log.select("v", "u", F.explode(F.expr("sequence(1, cast(freq as int))"))).select("v", "u")
-    top = weighted.groupBy("v").agg(F.expr(f"approx_top_k(u, {k}, {max(items, k)})").alias("_t"))
-    return top.select("v", F.explode("_t").alias("_e")).select("v", F.col("_e.item").alias("u"), F.col("_e.count").alias("freq"))
+def top_sources(counts: DataFrame, k: int) -> DataFrame:
+    """v, u, freq: each v's k most frequent sources, ties to smaller ids; the limit is pushed below the shuffle."""
+    order = W.partitionBy("v").orderBy(F.col("freq").desc(), "u")
+    return counts.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).select("v", "u", "freq")
+
+
+class SourceFrequencyTracker:
+    """Counts of successes by (v, u), at most 2^lg_max for each v, kept as a written table from round to round."""
+
+    def __init__(self, like: DataFrame, lg_max: int = 6):
+        self.lg_max, self._like = lg_max, like
+        self.reset()
+
+    def reset(self) -> None:
+        """Forget all counts."""
+        self.counts, self.total_updates = empty_counts(self._like), 0
+
+    def record(self, delta: DataFrame) -> None:
+        """delta: v, u, freq. total_updates goes up by the successes recorded."""
+        delta = materialize(delta.select("v", "u", F.col("freq").cast("bigint").alias("freq")), "successes")
+        self.total_updates += delta.agg(F.coalesce(F.sum("freq"), F.lit(0))).first()[0]
+        before, self.counts = self.counts, materialize(prune(record(self.counts, delta), self.lg_max), "counts")
+        discard(before, delta)
+
+    def frequency(self, keys: DataFrame) -> DataFrame:
+        return frequency(self.counts, keys)
+
+    def neighbor_weights(self, lists: DataFrame, base: float = BASE, boost: float = BOOST) -> DataFrame:
+        return neighbor_weights(lists, self.counts, base, boost)
+
+    def candidate_weights(self, found: DataFrame, base: float = BASE, boost: float = BOOST) -> DataFrame:
+        return candidate_weights(found, self.counts, base=base, boost=boost)
+
+    def top(self, k: int) -> DataFrame:
+        return top_sources(self.counts, k)
+
+
+class NetSourceTracker(SourceFrequencyTracker):
+    """The same with penalties, and with sources in more than k lists counting less."""
+
+    def penalize(self, penalties: DataFrame) -> None:
+        before, self.counts = self.counts, materialize(penalize(self.counts, penalties), "counts")
+        discard(before)
+
+    def candidate_weights(self, found: DataFrame, degrees: DataFrame | None = None, k: int = 10, base: float = BASE, boost: float = BOOST) -> DataFrame:
+        return candidate_weights(found, self.counts, degrees, k, base, boost)

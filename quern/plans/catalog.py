@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators import candidates as cand
 from quern.operators import exact, graph, points, tracking
 from quern.plans import descent, oracle
-from quern.session import materialize
-from quern.sources import generators
+from quern.session import materialize, scratch_dir
+from quern.sources import generators, results
 
 K, RHO, SEED, RATE = oracle.K, 0.8, oracle.SEED, oracle.RATE
 METRICS = {"l2": "euclidean", "cosine": "cosine", "l1": "manhattan"}
@@ -62,7 +64,7 @@ def _exact(metric: str):
     return query
 
 
-def _pairs(metric: str):
+def _pairs(metric):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         pts = materialize(points.as_points(spark.read.parquet(f"{sf_dir}/embeddings.parquet")), "points")
         n, dim = points.dimension(pts)
@@ -133,6 +135,20 @@ def _lists(r: Run) -> DataFrame:
     return graph.to_lists(r.graph(2)).select("p", F.posexplode("neighbors").alias("rank", "q")).select("p", (F.col("rank") + 1).alias("rank"), "q")
 
 
+def _largest(a, b) -> float:
+    """A user's metric: the largest difference of a component."""
+    return abs(a - b).max()
+
+
+def _json_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run's log written as JSON and read again."""
+    log = descent.descend(Run(spark, sf_dir).points, OPTIMIZED, rounds=2).log
+    run = {"recall": 0.0, "dist_comps": sum(x["dist"] for x in log), "iterations": len(log), "iter_log": log, "time": 0.0, "mode": "random", "rate": 1.0, "rho": RHO}
+    path = results.write_result(spark, run, f"{scratch_dir(spark)}/quern/results-{uuid.uuid4().hex}")
+    rows = results.read_result(spark, path).select("dist_comps", "iterations", "mode", "rate", F.explode("iter_log").alias("_e"))
+    return rows.select("dist_comps", "iterations", "mode", "rate", F.col("_e.iter").alias("iter"), F.col("_e.updates").alias("updates"), F.col("_e.dist").alias("dist"))
+
+
 HALF = {"rho": RHO, "k": K, "seed": SEED, "sample_rate": RATE}
 
 QUERIES = {f"knn_exact_{m}": _exact(name) for m, name in METRICS.items()}
@@ -174,8 +190,12 @@ QUERIES |= {
     "gen_gaussian": lambda spark, sf_dir: _flat(generators.generate_gaussian(spark, 500, 8, 5.0, 2.0, SEED)),
     "gen_high_hubness": lambda spark, sf_dir: _flat(generators.generate_high_hubness(spark, 500, 100, SEED)),
     "gen_clustered": lambda spark, sf_dir: _flat(generators.generate_clustered(spark, 500, 8, 7, seed=SEED)),
-    # without SQL: a sketch whose order of ties is its own, and loops that end by a measured condition
-    "topk_sources_sketch": _on_run(lambda r: tracking.top_sources(_tracked(r), 5)),
+    "pair_distance_custom": _pairs(_largest),
+    "new_neighbors": _on_run(lambda r: graph.neighbors(r.graph(1), True).select("p", "rank", "q")),
+    "old_neighbors": _on_run(lambda r: graph.neighbors(r.graph(1), False).select("p", "rank", "q")),
+    "source_frequency": _on_run(lambda r: tracking.frequency(_tracked(r), graph.reverse_edges(r.graph(1, ADAPTIVE)))),
+    "topk_sources": _on_run(lambda r: tracking.top_sources(_tracked(r), 5)),
+    "json_result": _json_result,
     "descent_naive_converged": _on_run(_converged(OPTIMIZED, naive=True)),
     "descent_optimized_converged": _on_run(_converged(OPTIMIZED)),
     "descent_adaptive_converged": _on_run(_converged(ADAPTIVE)),

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import argparse
 import time
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.operators.exact import knn_exact, recall
 from quern.plans.descent import Settings, descend
-from quern.session import materialize
-from quern.sources import generators
+from quern.session import local_session, materialize
+from quern.sources import generators, load_points, write_result
 
 
 class Timer:
@@ -66,3 +67,28 @@ def hubness_trio(spark: SparkSession, n: int = 5_000, k: int = 10, rate: float =
         truth = materialize(knn_exact(points, k, points.count()), "truth")
         rows += [run_config(points, truth, k, rate, mode) | {"data": name} for mode in ("random", "adaptive")]
     return rows
+
+
+def main(args=None, spark: SparkSession | None = None) -> dict:
+    """python -m quern.plans.experiments MODE RATE [RHO]: one run on stored vectors, its result as JSON."""
+    p = argparse.ArgumentParser(description="One sampled descent measured against the exact graph.")
+    p.add_argument("mode", choices=["random", "adaptive"])
+    p.add_argument("rate", type=float)
+    p.add_argument("rho", type=float, nargs="?", default=0.8)
+    p.add_argument("--fvecs", default="data/siftsmall/siftsmall_base.fvecs")
+    p.add_argument("--cache", default="data/cache/points.parquet")
+    p.add_argument("--out", default="data/cache")
+    p.add_argument("--n", type=int, default=10_000)
+    p.add_argument("--k", type=int, default=20)
+    a = p.parse_args(args)
+    spark = spark or local_session("quern-run")
+    points = materialize(load_points(spark, a.fvecs, a.cache, a.n), "run")
+    truth = materialize(knn_exact(points, a.k, points.count()), "truth")
+    result = run_config(points, truth, a.k, a.rate, a.mode, a.rho)
+    path = write_result(spark, result, a.out)
+    print(f"{path}: recall {result['recall']:.4f}, {result['dist_comps']} distances, {result['iterations']} rounds, {result['time']} s")
+    return result
+
+
+if __name__ == "__main__":
+    main()

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 K, SIZE, SEED, RATE, DRAWS = 10, 8, 42, 0.5, 46
 BASE, BOOST = 1.0, 0.5
+#: Rounds that the SQL of whole descents spells out; the loops end sooner on the test tables.
+ROUNDS = 12
 
 
 def uniform(tag: str, *keys: str, seed: int = SEED) -> str:
@@ -132,6 +134,14 @@ WHERE r <= greatest(1, floor(n * {RATE}))""")
     SELECT x.id AS p, y.id AS q, {d} AS dist FROM pts x JOIN pts y ON x.id <> y.id)) WHERE r <= {K}""")
 
 
+    def until(self, rounds: int, least: str) -> str:
+        """The sorted lists after the first of the rounds that brought fewer new edges than least, else after the last."""
+        counts = " UNION ALL ".join(f"SELECT {t} AS t, (SELECT count(*) FROM b{t} WHERE is_new) AS n" for t in range(1, rounds + 1))
+        self.add("ends", f"SELECT coalesce(min(t), {rounds}) AS t FROM ({counts}) WHERE n < {least}")
+        both = " UNION ALL ".join(f"SELECT p, q, dist FROM b{t} WHERE {t} = (SELECT t FROM ends)" for t in range(1, rounds + 1))
+        return self.sql(f"SELECT p, CAST(row_number() OVER (PARTITION BY p ORDER BY dist, q) AS INTEGER) AS rank, q, round(dist, 4) AS dist FROM ({both})")
+
+
 EDGES = "SELECT p, q, round(dist, 4) AS dist, is_new FROM b{}"
 NET = """SELECT v, u, freq FROM (
   SELECT t.v, t.u, t.freq - coalesce(l.n, 0) AS freq FROM q2 t LEFT JOIN (
@@ -188,6 +198,28 @@ def build() -> dict[str, str]:
     out["recall_descent_vs_exact"] = second().exact().sql(
         "SELECT hits, total, round(hits / total, 6) AS recall FROM (SELECT (SELECT count(*) FROM ex JOIN b2 USING (p, q)) AS hits, (SELECT count(*) FROM ex) AS total)"
     )
+    largest = "list_max(list_transform(list_zip(x.vec, y.vec), lambda z: abs(z[1] - z[2])))"
+    out["pair_distance_custom"] = Chain().init().add("mc", f"SELECT e.p, e.q, {largest} AS dist FROM r0 e JOIN pts x ON e.p = x.id JOIN pts y ON e.q = y.id").sql(
+        "SELECT p, q, round(dist, 6) AS dist FROM mc"
+    )
+    flagged = "SELECT p, CAST(row_number() OVER (PARTITION BY p ORDER BY dist, q) AS INTEGER) AS rank, q FROM b1 WHERE {}"
+    out["new_neighbors"], out["old_neighbors"] = first().sql(flagged.format("is_new")), first().sql(flagged.format("NOT is_new"))
+    out["source_frequency"] = tracked().sql("SELECT b.q AS v, b.p AS u, coalesce(s.freq, 0) AS freq FROM b1 b LEFT JOIN q1 s ON b.q = s.v AND b.p = s.u")
+    out["topk_sources"] = tracked().sql("SELECT v, u, freq FROM (SELECT *, row_number() OVER (PARTITION BY v ORDER BY freq DESC, u) AS r FROM q1) WHERE r <= 5")
+    out["json_result"] = second().add("lg", """SELECT CAST(t AS INTEGER) AS iter, updates, dist FROM (
+  SELECT 1 AS t, (SELECT count(*) FROM b1 WHERE is_new) AS updates, (SELECT count(*) FROM c1) AS dist
+  UNION ALL SELECT 2, (SELECT count(*) FROM b2 WHERE is_new), (SELECT count(*) FROM c2))""").sql(
+        "SELECT (SELECT CAST(sum(dist) AS BIGINT) FROM lg) AS dist_comps, 2 AS iterations, 'random' AS mode, CAST(1.0 AS DOUBLE) AS rate, iter, updates, dist FROM lg"
+    )
+    few = f"0.001 * (SELECT count(*) FROM pts) * {K}"
+    naive, optimized, adaptive = Chain().init(), Chain().init(), Chain().init()
+    for t in range(1, ROUNDS + 1):
+        naive.naive(t)
+        optimized.round(t)
+        adaptive.round(t, f"q{t - 1}" if t > 2 else None).success(t, f"c{t}", f"q{t - 1}" if t > 1 else None)
+    out["descent_naive_converged"] = naive.until(ROUNDS, "1")
+    out["descent_optimized_converged"] = optimized.until(ROUNDS, few)
+    out["descent_adaptive_converged"] = adaptive.until(ROUNDS, few)
     flat = "SELECT id, j, round({}, 6) AS x FROM range(500) a(id), range({}) b(j)"
     out["gen_uniform"] = flat.format(f"2.0 + 3.0 * {uniform('uniform', 'id', 'j')}", 8)
     out["gen_gaussian"] = flat.format(f"5.0 + 2.0 * {normal('gaussian', 'id', 'j')}", 8)

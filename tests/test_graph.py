@@ -5,9 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.operators import candidates, exact, graph, points, tracking
-from quern.plans import descent
+from quern.plans import descent, experiments
 from quern.plans.estimators import AdaptiveNNDescent, NaiveNNDescent, OptimizedNNDescent
-from quern.plans.experiments import run_config
+from quern.plans.experiments import compare, hubness_trio, main, run_config
 from quern.session import materialize
 from quern.sources import generators
 
@@ -146,3 +146,35 @@ def test_partitions_do_not_matter(spark, small):
     a = descent.descend(small.repartition(1), descent.Settings(k=5, rho_weighted=True, warmup_iterations=1), rounds=2).graph
     b = descent.descend(small.repartition(7), descent.Settings(k=5, rho_weighted=True, warmup_iterations=1), rounds=2).graph
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_tracker_state(spark):
+    delta = spark.createDataFrame([(0, 5, 2), (0, 6, 1), (1, 5, 3)], "v bigint, u bigint, freq bigint")
+    t = tracking.NetSourceTracker(delta, lg_max=3)
+    t.record(delta)
+    t.record(delta)
+    assert t.total_updates == 12 and {(r.v, r.u): r.freq for r in t.counts.collect()} == {(0, 5): 4, (0, 6): 2, (1, 5): 6}
+    t.penalize(spark.createDataFrame([(0, 6, 2), (1, 5, 1)], "v bigint, u bigint, freq bigint"))
+    assert {(r.v, r.u): r.freq for r in t.top(1).collect()} == {(0, 5): 4, (1, 5): 5}
+    t.reset()
+    assert t.total_updates == 0 and t.counts.isEmpty()
+
+
+def test_experiments(spark, tmp_path, monkeypatch):
+    pts = materialize(generators.generate_uniform(spark, 60, 4, seed=1), "small")
+    rows = compare(pts, 5)
+    assert [r["name"] for r in rows] == ["optimized", "adaptive", "adaptive sampled"] and rows[0]["overhead"] == 0 and rows[0]["recall"] > 0.8
+    monkeypatch.setattr(experiments, "run_config", lambda points, truth, k, rate, mode: {"mode": mode, "n": truth.count()})
+    found = hubness_trio(spark, n=60, k=5, real=pts)
+    monkeypatch.undo()
+    assert all(r["n"] == 300 for r in found)
+    assert [(r["data"], r["mode"]) for r in found] == [(d, m) for d in ("real", "normal 100", "normal 10") for m in ("random", "adaptive")]
+    pts.write.parquet(str(tmp_path / "points"))
+    run = main(["adaptive", "0.5", "--fvecs", str(tmp_path / "none"), "--cache", str(tmp_path / "points"), "--out", str(tmp_path), "--k", "5"], spark)
+    assert run["mode"] == "adaptive" and (tmp_path / "result_adaptive_50").exists()
+
+
+def test_public_names():
+    import quern
+
+    assert all(hasattr(quern, x) for x in quern.__all__)
