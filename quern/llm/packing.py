@@ -35,7 +35,7 @@ from quern.session import materialize
 SIZE, END = 1024, 2
 TOKENIZER = "byte_bpe_50k.json"
 #: Chunks remembered by a worker; it starts afresh beyond that.
-CACHE = 500_000
+CACHE = 900_000
 #: Pieces that one numbering task holds of a length, about.
 PART = 500_000
 #: Rows of the table of salted counts up to which it is broadcast.
