@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import os
 import re
+import threading
 import zlib
 from collections.abc import Iterator
 
@@ -30,12 +31,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.llm.memory import bound_batches, hand_back, tidy
 from quern.session import materialize
 
 SIZE, END = 1024, 2
 TOKENIZER = "byte_bpe_50k.json"
 #: Chunks remembered by a worker; it starts afresh beyond that.
 CACHE = 900_000
+#: Seconds after which a worker without a packing task gives its remembered chunks up.
+IDLE = 5.0
 #: Pieces that one numbering task holds of a length, about.
 PART = 500_000
 #: Rows of the table of salted counts up to which it is broadcast.
@@ -118,14 +122,29 @@ class Encoder:
 
 
 _encoders: dict[str, Encoder] = {}
+_idle: list[threading.Timer] = []
 
 
 def encoder(path: str) -> Encoder:
+    while _idle:
+        _idle.pop().cancel()
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
+def _forget() -> None:
+    _encoders.clear()  # a task that runs holds its own
+    hand_back()
+
+
+def done() -> None:
+    """Spark keeps workers for other stages; what this one remembers leaves them unless a task follows soon."""
+    _idle.append(threading.Timer(IDLE, _forget))
+    _idle[-1].daemon = True
+    _idle[-1].start()
+
+
 def cuts(n: int, size: int) -> np.ndarray:
     """Starts of the pieces of n ids: only the first may be shorter than size."""
     if n <= size:
@@ -140,27 +159,30 @@ def tokenized(docs: DataFrame, path: str, size: int = SIZE, end: int = END, keep
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
-        for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part = batch.slice(low, 256)
-                ids = encode([x or "" for x in part.column(1).to_pylist()])
-                at, piece, start, length, crc, held = [], [], [], [], [], []
-                for i, b in enumerate(ids):
-                    b += ending
-                    starts = cuts(len(b) // 4, size).tolist()
-                    for j, (s, e) in enumerate(zip(starts, [*starts[1:], len(b) // 4])):
-                        own = b[4 * s : 4 * e]
-                        at.append(i), piece.append(j), start.append(s), length.append(e - s), crc.append(zlib.crc32(own))
-                        if keep_ids:
-                            held.append(np.frombuffer(own, dtype="<u4").astype(np.int32))
-                cols = [part.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-                if keep_ids:
-                    cols.append(pa.array(held, pa.list_(pa.int32()))), names.append("ids")
-                yield pa.RecordBatch.from_arrays(cols, names)
+        try:
+            for batch in batches:
+                for low in range(0, batch.num_rows, 256):
+                    part = batch.slice(low, 256)
+                    ids = encode([x or "" for x in part.column(1).to_pylist()])
+                    at, piece, start, length, crc, held = [], [], [], [], [], []
+                    for i, b in enumerate(ids):
+                        b += ending
+                        starts = cuts(len(b) // 4, size).tolist()
+                        for j, (s, e) in enumerate(zip(starts, [*starts[1:], len(b) // 4])):
+                            own = b[4 * s : 4 * e]
+                            at.append(i), piece.append(j), start.append(s), length.append(e - s), crc.append(zlib.crc32(own))
+                            if keep_ids:
+                                held.append(np.frombuffer(own, dtype="<u4").astype(np.int32))
+                    cols = [part.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+                    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+                    if keep_ids:
+                        cols.append(pa.array(held, pa.list_(pa.int32()))), names.append("ids")
+                    yield pa.RecordBatch.from_arrays(cols, names)
+        finally:
+            done()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(work), schema)
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -233,6 +255,7 @@ def pack(
 ) -> DataFrame:
     """Every piece with its sequence_id and offset; with keep_ids its ids too, which sequences() joins up."""
     spark = docs.sparkSession
+    bound_batches(spark)
     pieces = materialize(tokenized(docs, path or public_tokenizers.path(TOKENIZER), size, end, keep_ids), "pack")
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most size rows
     table = spark.sparkContext.broadcast(slots(plan(counts, size)))

@@ -40,6 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.llm.memory import bound_batches, tidy
 from quern.session import discard, materialize, release
 
 WORDS = 5
@@ -223,7 +224,7 @@ def set_table(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         if held:
             yield noted(held)
 
-    found = docs.mapInArrow(work, "doc_id long, n long, cls binary, bits binary, shingle long, many long")
+    found = docs.mapInArrow(tidy(work), "doc_id long, n long, cls binary, bits binary, shingle long, many long")
     found = materialize(found, "sets-of-docs")
     return found.where("n is not null").select(*names[:4]), found.where("n is null").select(*names[4:])
 
@@ -268,7 +269,7 @@ def post(docs: DataFrame, parts: int, hot: tuple[np.ndarray, np.ndarray] = NONE)
         if names:
             yield packed(names, tags)
 
-    return docs.where(F.col("doc_id").isNotNull()).mapInArrow(work, "part int, names binary, tags binary")
+    return docs.where(F.col("doc_id").isNotNull()).mapInArrow(tidy(work), "part int, names binary, tags binary")
 
 
 def _five(x: np.ndarray) -> np.ndarray:
@@ -333,7 +334,7 @@ def bucket_heads(posted: DataFrame, parts: int) -> DataFrame:
     """head, tag of every class that shares a posted block with another."""
     wide = "part int, heads binary, tags binary"
     packed = posted.repartition(parts, "part").groupBy("part").applyInArrow(lambda cell: _buckets(cell, parts), wide)
-    return packed.repartition(parts, "part").mapInArrow(_heads, "head long, tag long")
+    return packed.repartition(parts, "part").mapInArrow(tidy(_heads), "head long, tag long")
 
 
 def lookup(docs: DataFrame, wanted: DataFrame, roles: DataFrame | None = None) -> DataFrame:
@@ -368,7 +369,7 @@ def lookup(docs: DataFrame, wanted: DataFrame, roles: DataFrame | None = None) -
     roles_too = roles is not None
     out = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
     near = docs.join(wanted, F.col("doc_id") == F.col("_first")).select("text", "_c", *(["_roles"] if roles_too else []))
-    return near.mapInArrow(work, "a binary, part int, b binary, data binary" if roles_too else "cls binary, data binary")
+    return near.mapInArrow(tidy(work), "a binary, part int, b binary, data binary" if roles_too else "cls binary, data binary")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[list[dict]]:
@@ -431,7 +432,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
     wanted = roles.select("cls").distinct().join(classes.select("cls", "first_id"), "cls")
     dealt = lookup(docs, wanted, roles).repartition(_parts(docs.sparkSession), "a", "part")
     dealt = dealt.sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-    found = materialize(dealt.mapInArrow(_linked, "a binary, b binary"), "links")
+    found = materialize(dealt.mapInArrow(tidy(_linked), "a binary, b binary"), "links")
     discard(roles)
     return found
 
@@ -619,7 +620,7 @@ def near_classes(docs: DataFrame, table: DataFrame, counts: DataFrame) -> tuple[
     all_ = F.sequence(F.lit(0), F.col("ys") - 1)  # the head's own class is in every chunk
     chunked = chunked.withColumn("chunk", F.explode(F.when(F.col("tag") == F.col("head"), all_).otherwise(F.array("_own"))))
     dealt = chunked.select("head", "chunk", "cls", "n", "bits").repartition(_parts(spark), "head", "chunk").sortWithinPartitions("head", "chunk")
-    found = materialize(dealt.mapInArrow(_star, "head long, a binary, b binary"), "compared")
+    found = materialize(dealt.mapInArrow(tidy(_star), "head long, a binary, b binary"), "compared")
     links = verified(found.select("a", "b").distinct(), docs, classes)
     labels = components(links)
     release(spark)
@@ -630,13 +631,13 @@ def near_classes(docs: DataFrame, table: DataFrame, counts: DataFrame) -> tuple[
     named = materialize(named, "named")
     open_ = named.groupBy("head").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("head")
     left = _cells(named.join(open_, "head", "left_semi"), CELL, _parts(spark))
-    noted = materialize(left.mapInArrow(_noted, "head long, cls binary").distinct(), "noted")
+    noted = materialize(left.mapInArrow(tidy(_noted), "head long, cls binary").distinct(), "noted")
     if not noted.isEmpty():
         sets = lookup(docs, noted.select("cls").distinct().join(classes.select("cls", "first_id"), "cls"))
         sets = materialize(sets, "sets")
         last = _cells(named.join(noted, ["head", "cls"], "left_semi"), EXACT, _parts(spark))
         last = last.join(sets, "cls").repartition(_parts(spark), "head", "x", "y").sortWithinPartitions("head", "x", "y")
-        more = materialize(last.mapInArrow(_exact, "a binary, b binary"), "links")
+        more = materialize(last.mapInArrow(tidy(_exact), "a binary, b binary"), "links")
         if not more.isEmpty():
             discard(labels)
             labels = components(links.unionByName(more))
@@ -647,6 +648,7 @@ def near_classes(docs: DataFrame, table: DataFrame, counts: DataFrame) -> tuple[
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
+    bound_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     table, counts = set_table(own)
     classes, labels = near_classes(own, table, counts)

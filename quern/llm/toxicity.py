@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.llm.memory import bound_batches, hand_back, tidy
 from quern.session import materialize
 
 PER_CLASS, TRAIN_CHARS = 2_000, 30_000
@@ -194,12 +195,15 @@ def sentence_masses(text: str, weights: _Weights, bias: float) -> np.ndarray:
 def scored(docs: DataFrame, model: Model, column: str = "_score") -> DataFrame:
     """docs with one more column, the noisy-or of its sentences."""
     fixed, bias = model.weights, model.bias
+    bound_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         weights = _Weights(fixed)
         for texts in parts:
             yield pd.Series([-np.expm1(-sentence_masses(t, weights, bias).sum()) if t else 0.0 for t in texts], dtype="float64")
+        weights.clear()
+        hand_back()
 
     return docs.withColumn(column, score(F.col("text")))
 
@@ -269,12 +273,13 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held: int = HE
     Executors read the sample's texts; the driver gets the parts that can have a weight, and of each text a count
     and the numbers of those parts.
     """
+    bound_batches(docs.sparkSession)
     rows = sample(docs, labels, "toxic", fold(F.col("_id"), folds) != held, PER_CLASS, TRAIN_CHARS)
     rows = materialize(rows.dropDuplicates(["_did", "text"]), "toxic-sample")
     size = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(size) < 2:
         return Model({}, SHARP * BIAS)
-    parts = rows.select("text", "label").mapInArrow(_seen, "part string, clean long, toxic long")
+    parts = rows.select("text", "label").mapInArrow(tidy(_seen), "part string, clean long, toxic long")
     parts = parts.groupBy("part").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     parts = parts.where((F.col("clean") + F.col("toxic") >= LEAST_DOCS) & (F.col("toxic") * size[0] >= F.col("clean") * (ODDS * size[1])))
     found = parts.where("toxic > 0").toArrow()
@@ -290,7 +295,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held: int = HE
             yield pa.RecordBatch.from_arrays(cols, ["id", "label", "plain", "sizes", "parts"])
 
     kept = rows.select(F.col("_did").cast("long").alias("_did"), "label", "text")
-    bags = kept.mapInArrow(work, "id long, label int, plain long, sizes array<int>, parts array<int>").toArrow()
+    bags = kept.mapInArrow(tidy(work), "id long, label int, plain long, sizes array<int>, parts array<int>").toArrow()
     bags = bags.take(pa.array(np.lexsort((bags.column("plain").to_numpy(), bags.column("id").to_numpy()))))
     lists = [c.to_numpy(zero_copy_only=False) if len(bags) else [] for c in (bags.column("sizes").combine_chunks(), bags.column("parts").combine_chunks())]
     return fit_bags(list(zip(bags.column("plain").to_pylist(), *lists)), bags.column("label").to_pylist(), vocab)
