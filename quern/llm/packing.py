@@ -37,7 +37,7 @@ from quern.session import materialize
 SIZE, END = 1024, 2
 TOKENIZER = "byte_bpe_50k.json"
 #: Chunks remembered by a worker; it starts afresh beyond that.
-CACHE = 900_000
+CACHE = 1_500_000
 #: Seconds after which a worker without a packing task gives its remembered chunks up.
 IDLE = 5.0
 #: Pieces that one numbering task holds of a length, about.
