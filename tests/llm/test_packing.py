@@ -28,6 +28,20 @@ def test_ids_are_the_tokenizers():
         assert [np.frombuffer(b, "<u4").tolist() for b in own(group)] == [reference(t) for t in group]
 
 
+def test_new_words_part_by_part():
+    rng, whole = random.Random(6), Tokenizer.from_file(PATH)
+    own, slow = packing.Encoder(PATH), packing.Encoder(PATH, cache=50)
+    assert own.parts
+    letters = list("abcdestrvlm'.,!-09²ªß÷ɏ\t\n  ") + ["'s", "'ll", "中", "٣", "ɐ", "\xa0", "\xad", "😀"]
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 50))) for _ in range(5_000)]
+    texts.append("x " + "".join(rng.choices("ab1,.\n'", k=1_000_000)) + "z")
+    for low in range(0, len(texts), 256):
+        part = texts[low : low + 256]
+        want = [e.ids for e in whole.encode_batch_fast(part, add_special_tokens=False)]
+        for encode in (own, slow):
+            assert [np.frombuffer(b, "<u4").tolist() for b in encode(part)] == want
+
+
 @pytest.mark.parametrize("n", [1, 5, 8, 9, 16, 17, 40])
 def test_cuts(n):
     starts = packing.cuts(n, 8).tolist()
