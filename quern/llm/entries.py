@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from quern.llm import (
     exact_search,
+    hard_negatives,
     line_dedup,
     mixing,
     packing,
     parity_join,
     permutation_index,
     quality,
+    secrets,
     substring_dedup,
     toxicity,
     url_filters,
+    whitening,
 )
 
 QUERIES = {
@@ -26,6 +29,9 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_url_filters": url_filters.op9_url_filters,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_secrets": secrets.op12_secrets,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
 SQL = {
@@ -34,4 +40,5 @@ SQL = {
     "op6_line_dedup": line_dedup.SQL,
     "op7_mixing": mixing.SQL,
     "op9_url_filters": url_filters.SQL,
+    "op13_hard_negatives": hard_negatives.SQL,
 }

@@ -15,25 +15,25 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def clean(table: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """id, v (array<double>) of the rows that take part: with an id, and a finite vector without nulls."""
-    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+def clean(table: DataFrame, id_col: str, vec_col: str, *keep: str) -> DataFrame:
+    """id, v (array<double>), and columns kept, of the rows that take part: with an id, and a finite vector without nulls."""
+    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), *keep)
     odd = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     return rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).where(~odd)
 
 
-def first_copies(rows: DataFrame, k: int) -> DataFrame:
-    """Of equal vectors the k + 1 rows of smallest ids: equal scores go to smaller ids, so no query needs a further copy.
+def first_copies(rows: DataFrame, k: int, *kind: str) -> DataFrame:
+    """Of equal vectors (of a kind) the k + 1 rows of smallest ids: equal scores go to smaller ids, so no query needs a further copy.
 
     The limit is pushed into each mapper before the shuffle, so a vector that a third of the rows share is cheap.
     """
-    return rows.withColumn("_n", F.row_number().over(W.partitionBy("v").orderBy("id"))).where(f"_n <= {k + 1}").drop("_n")
+    return rows.withColumn("_n", F.row_number().over(W.partitionBy("v", *kind).orderBy("id"))).where(f"_n <= {k + 1}").drop("_n")
 
 
-def asked(rows: DataFrame, condition) -> DataFrame:
-    """id, v, turn, times: the different queries; turn tells those of one id apart, times is how many rows each stands for."""
-    own = rows.where(condition).groupBy("id", "v").agg(F.count(F.lit(1)).alias("times"))
-    return own.withColumn("turn", F.row_number().over(W.partitionBy("id").orderBy("v")))
+def asked(rows: DataFrame, condition, *kind: str) -> DataFrame:
+    """id, v, kind, turn, times: the different queries; turn tells those of one id apart, times is how many rows each stands for."""
+    own = rows.where(condition).groupBy("id", "v", *kind).agg(F.count(F.lit(1)).alias("times"))
+    return own.withColumn("turn", F.row_number().over(W.partitionBy("id").orderBy("v", *kind)))
 
 
 def deal(rows: DataFrame, queries: DataFrame, n_rows: int, n_queries: int, segment: int, block: int, extra=()) -> DataFrame:
@@ -68,10 +68,11 @@ def split(cell: pa.Table):
     return take(~asked), take(asked)
 
 
-def own_row(ids: np.ndarray, rows: np.ndarray, own_id: int, own: np.ndarray) -> int:
-    """The place of a row with the query's id and vector, one of those that may be it; -1 if none is here. ids ascend."""
+def own_row(ids: np.ndarray, rows: np.ndarray, own_id: int, own: np.ndarray, among: np.ndarray | None = None) -> int:
+    """The place of a row (among some) with the query's id and vector, one of those that may be it; -1 if none is here. ids ascend."""
     low, high = np.searchsorted(ids, [own_id, own_id + 1])
-    same = np.flatnonzero((rows[low:high] == own).all(axis=1)) if high > low else ()
+    same = (rows[low:high] == own).all(axis=1) if among is None else (rows[low:high] == own).all(axis=1) & among[low:high]
+    same = np.flatnonzero(same) if high > low else ()
     return int(low + same[0]) if len(same) else -1
 
 
