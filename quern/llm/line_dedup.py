@@ -9,7 +9,8 @@ as one row from each mapper; the look-up of first occurrences is a sort-merge jo
 
 Defined results: null text stays null and has no lines; fewer than three lines are never touched; a row with
 the same id and text as another is the same document and gets the same result, so it does not count as a
-repetition; null ids are documents before all others; an empty table gives no rows; further columns are kept.
+repetition; null ids are documents before all others; an empty table gives no rows; further
+columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.llm.columns import ROW, packed, unpacked
+
 SPAN = 3
 
 
@@ -40,8 +43,8 @@ def _windows(docs: DataFrame) -> DataFrame:
     return own.select("_id", "_fp", "pos", "h.h1", "h.h2")
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs with text rewritten, plus _n_lines and _n_removed; n_chars, where present, follows the new text."""
+def dedup_lines(docs: DataFrame, counts: bool = False) -> DataFrame:
+    """docs with text rewritten; n_chars, where present, follows the new text. counts: doc_id, n_lines, n_removed, text."""
     found = _windows(docs)
     where = F.struct("_id", "_fp", "pos")
     first = (
@@ -53,8 +56,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     later = found.join(first, ["h1", "h2"]).where(where > F.col("first"))
     covered = later.groupBy("_id", "_fp").agg(F.collect_set("pos").alias("_at"))
     covered = covered.select(F.col("_id").alias("_cid"), F.col("_fp").alias("_cfp"), "_at")
-    out = docs.withColumn("_fp", F.xxhash64("text"))
-    out = out.join(covered, F.col("doc_id").eqNullSafe(F.col("_cid")) & (F.col("_fp") == F.col("_cfp")), "left")
+    own = docs.select("doc_id", "text") if counts else docs
+    out = packed(own, F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_fp"), F.col("text").alias("_text"))
+    out = out.join(covered, F.col("_id").eqNullSafe(F.col("_cid")) & (F.col("_fp") == F.col("_cfp")), "left")
 
     def rest(s: Column) -> Column:
         """In one pass over the lines: their number, how many go, and the others joined."""
@@ -63,41 +67,49 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         joined = F.array_join(F.transform(kept, lambda i: F.get(s["lines"], i)), "\n")
         return F.struct(F.size(s["lines"]).cast("long").alias("n"), F.size(gone).cast("long").alias("gone"), joined.alias("text"))
 
-    whole = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + F.lit(1)
-    cut = F.when(F.col("_at").isNotNull(), _let(F.struct(F.split("text", "\n", -1).alias("lines"), F.col("_at").alias("at")), rest))
+    cut = F.when(F.col("_at").isNotNull(), _let(F.struct(F.split("_text", "\n", -1).alias("lines"), F.col("_at").alias("at")), rest))
     out = out.withColumn("_cut", cut)
-    out = out.withColumn("_n_lines", F.coalesce(F.col("_cut.n"), whole.cast("long"), F.lit(0).cast("long")))
-    out = out.withColumn("_n_removed", F.coalesce(F.col("_cut.gone"), F.lit(0).cast("long")))
-    out = out.withColumn("text", F.when(F.col("_at").isNull(), F.col("text")).otherwise(F.col("_cut.text")))
+    text = F.when(F.col("_at").isNull(), F.col("_text")).otherwise(F.col("_cut.text"))
+    if counts:
+        whole = F.length("_text") - F.length(F.replace(F.col("_text"), F.lit("\n"), F.lit(""))) + F.lit(1)
+        n_lines = F.coalesce(F.col("_cut.n"), whole.cast("long"), F.lit(0).cast("long")).alias("n_lines")
+        n_removed = F.coalesce(F.col("_cut.gone"), F.lit(0).cast("long")).alias("n_removed")
+        return out.select(F.col("_id").alias("doc_id"), n_lines, n_removed, text.alias("text"))
+    changed = {"text": text}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_at").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast("long"))
-    return out.select(*docs.columns, "_n_lines", "_n_removed")
+        changed["n_chars"] = F.when(F.col("_at").isNull(), F.col(ROW)["n_chars"]).otherwise(F.length("_cut.text")).cast("long")
+    return unpacked(out, docs.columns, **changed)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = dedup_lines(docs)
-    return out.select(
-        "doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.md5("text").alias("kept_md5")
-    )
+    out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), counts=True)
+    return out.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("kept_md5"))
 
 
 SQL = r"""
 WITH l AS (
-  SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM (SELECT DISTINCT doc_id, text FROM documents)
+  SELECT row_number() OVER () AS k, doc_id, text FROM (SELECT DISTINCT doc_id, text FROM documents)
+), s AS (
+  SELECT k, doc_id, string_split(text, chr(10)) AS ls FROM l
+), n AS (
+  SELECT k, doc_id, unnest(ls) AS line, unnest(range(0, len(ls))) AS pos FROM s
 ), w AS (
-  SELECT doc_id, text, ls, unnest(range(0, len(ls) - 2)) AS pos FROM l WHERE len(ls) >= 3
-), k AS (
-  SELECT doc_id, text, pos, ls[pos + 1] || chr(10) || ls[pos + 2] || chr(10) || ls[pos + 3] AS win FROM w
+  SELECT k, doc_id, pos, line || chr(10) || lead(line) OVER p || chr(10) || lead(line, 2) OVER p AS win
+  FROM n WINDOW p AS (PARTITION BY k ORDER BY pos)
 ), o AS (
-  SELECT doc_id, text, pos, row_number() OVER (PARTITION BY win ORDER BY doc_id NULLS FIRST, pos) AS rn FROM k
+  SELECT k, pos, row_number() OVER (PARTITION BY win ORDER BY doc_id NULLS FIRST, pos) AS rn FROM w WHERE win IS NOT NULL
 ), g AS (
-  SELECT doc_id, text, list_distinct(flatten(list([pos, pos + 1, pos + 2]))) AS gone FROM o WHERE rn > 1 GROUP BY doc_id, text
+  SELECT DISTINCT k, pos + j AS pos FROM o, range(3) t(j) WHERE rn > 1
+), c AS (
+  SELECT k, count(*) AS n_removed FROM g GROUP BY k
+), r AS (
+  SELECT k, string_agg(line, chr(10) ORDER BY pos) AS kept FROM n WHERE k IN (SELECT k FROM c) AND NOT EXISTS
+    (SELECT 1 FROM g WHERE g.k = n.k AND g.pos = n.pos) GROUP BY k
+), z AS (
+  SELECT k, count(*) AS n_lines FROM n GROUP BY k
 )
-SELECT d.doc_id, CAST(coalesce(len(l.ls), 0) AS BIGINT) AS n_lines,
-  CAST(coalesce(len(g.gone), 0) AS BIGINT) AS n_removed,
-  md5(CASE WHEN g.gone IS NULL THEN d.text ELSE coalesce(array_to_string(
-    list_transform(list_filter(range(0, len(l.ls)), lambda i: NOT list_contains(g.gone, i)), lambda i: l.ls[i + 1]), chr(10)), '') END) AS kept_md5
+SELECT d.doc_id, CAST(coalesce(z.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(c.n_removed, 0) AS BIGINT) AS n_removed,
+  md5(CASE WHEN c.k IS NULL THEN d.text ELSE coalesce(r.kept, '') END) AS kept_md5
 FROM documents d LEFT JOIN l ON d.doc_id IS NOT DISTINCT FROM l.doc_id AND d.text = l.text
-LEFT JOIN g ON d.doc_id IS NOT DISTINCT FROM g.doc_id AND d.text = g.text
+LEFT JOIN z ON z.k = l.k LEFT JOIN c ON c.k = l.k LEFT JOIN r ON r.k = l.k
 """

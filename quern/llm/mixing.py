@@ -9,7 +9,8 @@ repeated resharing of what capped sources leave over is one ordered pass over th
 
 Defined results: null text has size 0; null source is a source of its own, last in order; a source without
 words has target 0; a null id draws as the text "null"; repeated rows are numbered and draw each on its own, so
-sources of equal ids or equal rows come near their targets too; an empty table gives no rows; further columns are kept by emit and ignored otherwise.
+sources of equal ids or equal rows come near their targets too; an empty table gives no rows; further
+columns, of any name and type, are kept by emit and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quern.llm.columns import ROW, fresh, named, packed
 from quern.session import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -56,60 +58,66 @@ def draw(doc_id: Column, mark: Column, number: Column, seed: int = SEED) -> Colu
     return (F.conv(F.substring(h, 1, 8), 16, 10).cast("double") + 0.5) / F.lit(4294967296.0)
 
 
+def _fingerprint(rows: DataFrame) -> Column:
+    """128 bits of a whole row, by two hashes; columns that hold maps, which no hash takes, go in as JSON."""
+    parts = [F.to_json(named(f.name)) if "map<" in f.dataType.simpleString() else named(f.name) for f in rows.schema]
+    parts = [F.struct(p.isNull(), p) for p in parts]  # a null is not skipped
+    return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit("second"), *parts[::-1]).alias("b"))
+
+
 def numbered(rows: DataFrame) -> DataFrame:
-    """rows with _number: 0, 1, ... among equal rows.
+    """row (the columns as a struct) and number: 0, 1, ... among equal rows.
 
-    Only rows whose hash repeats are grouped, by all columns and summed before they are shuffled, so a row that a
-    third of the table repeats costs one count from each task.
+    Only rows whose fingerprint repeats are grouped by it, and summed before they are shuffled, so a row that a third
+    of the table repeats costs one count from each task.
     """
-    key = F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])
-    often = rows.groupBy(key.alias("_key")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_key")
+    keyed = packed(rows, _fingerprint(rows).alias("key"))
+    often = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     often = materialize(often, "mix-often")
+    none = F.lit(0).cast("long").alias("number")
     if not (n := often.count()):
-        return rows.withColumn("_number", F.lit(0).cast("long"))
+        return keyed.select(ROW, none)
     often = F.broadcast(often) if n <= BROADCAST_ROWS else often
-    keyed = rows.withColumn("_key", key)
-    once = keyed.join(often, "_key", "left_anti").drop("_key").withColumn("_number", F.lit(0).cast("long"))
-    many = keyed.join(often, "_key", "left_semi").groupBy(*[F.col(f"`{c}`") for c in rows.columns]).agg(F.count(F.lit(1)).alias("_n"))
-    return once.unionByName(many.select(*[F.col(f"`{c}`") for c in rows.columns], F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_number")))
+    once = keyed.join(often, "key", "left_anti").select(ROW, none)
+    many = keyed.join(often, "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.first(ROW).alias(ROW))
+    return once.unionByName(many.select(ROW, F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("number")))
 
 
 def mix_sources(
-    docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = SEED, emit: bool = False
+    docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = SEED, emit: bool = False, copy: str | None = None
 ) -> DataFrame:
     """Per document doc_id, size, source_size, target, taken; with emit the documents themselves, repeated.
 
-    The size of every document is computed once and kept as a narrow table; only that table is aggregated, and
-    the per-source result is broadcast when it is measured to be small.
+    copy: with emit, the name of one more column at the end that tells the copies of a document apart, from 1; it gets
+    underscores before it where docs has it. The size of every document is computed once and kept as a narrow table;
+    only that table is aggregated, and the per-source result is broadcast when it is measured to be small.
     """
-    keep = docs.columns
-    shape = (F.col("doc_id").alias("_id"), F.col("source").alias("_source"), word_count(F.col("text")).alias("_size"), F.md5("text").alias("_mark"))
+    shape = (F.col("doc_id").alias("id"), F.col("source").alias("source"), word_count(F.col("text")).alias("size"), F.md5("text").alias("mark"))
     if emit:
-        rows = numbered(docs).select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), *shape, "_number")
         narrow = docs.select(*shape[1:3])
+        rows = numbered(docs)
+        field = lambda c: F.col(ROW)[c]
+        rows = rows.select(
+            ROW, "number", field("doc_id").alias("id"), field("source").alias("source"), word_count(field("text")).alias("size"), F.md5(field("text")).alias("mark")
+        )
     else:
         narrow = materialize(docs.select(*shape), "mix")
-        rows = numbered(narrow)
-    sizes = narrow.groupBy("_source").agg(F.sum("_size").alias("source_size")).withColumnRenamed("_source", "source")
-    targets = materialize(source_targets(sizes, weights, most), "mix-targets")
-    n, width = targets.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("source")), F.lit(0))).first()
+        rows = numbered(narrow).select("number", f"{ROW}.*")
+    sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
+    targets = materialize(source_targets(sizes, weights, most).withColumnRenamed("source", "of"), "mix-targets")
+    n, width = targets.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("of")), F.lit(0))).first()
     if n <= BROADCAST_ROWS and width <= BROADCAST_BYTES:
         targets = F.broadcast(targets)
-    rows = rows.join(targets, F.col("_source").eqNullSafe(F.col("source")))
+    rows = rows.join(targets, F.col("source").eqNullSafe(F.col("of")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate)
-    drawn = draw(F.col("_id"), F.col("_mark"), F.col("_number"), seed)
+    drawn = draw(F.col("id"), F.col("mark"), F.col("number"), seed)
     copies = F.least(F.lit(most), whole + F.when(drawn < rate - whole, 1).otherwise(0)).cast("int")
     if emit:
-        rows = rows.select("_row", copies.alias("_copies")).where(F.col("_copies") > 0)
-        return rows.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
-    return rows.select(
-        F.col("_id").alias("doc_id"),
-        F.col("_size").alias("size"),
-        "source_size",
-        "target",
-        (F.col("_size") * copies).alias("taken"),
-    )
+        rows = rows.select(ROW, copies.alias("copies")).where(F.col("copies") > 0)
+        rows = rows.select(ROW, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("turn"))
+        return rows.select(f"{ROW}.*", *([F.col("turn").alias(fresh(copy, docs.columns))] if copy else []))
+    return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * copies).alias("taken"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

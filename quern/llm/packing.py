@@ -5,8 +5,8 @@ counts, whatever its size. Each bin starts from the longest length left; a subse
 bit for each total that the lengths left can reach) finds the fullest feasible combination, which is removed as
 often as the counts allow. The plan is a list of patterns; its size depends on the sequence length alone.
 
-Pieces are numbered within their length in salted parts, so a length that a third of all pieces share is numbered
-by many tasks, and each number finds its sequence and offset in the plan by binary search.
+Pieces are numbered within their length in salted parts, so a length that a third of all pieces share, also with one
+id and text, is numbered by many tasks, and each number finds its sequence and offset in the plan by binary search.
 
 Texts are tokenized in chunks, cut only before a space that a non-space follows. The tokenizer's own split always
 cuts there, so a chunk's ids never depend on its neighbours and are remembered, within a bound. A new chunk of
@@ -192,7 +192,7 @@ def cuts(n: int, size: int) -> np.ndarray:
 
 
 def tokenized(docs: DataFrame, path: str, size: int = SIZE, end: int = END, keep_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 (and ids) of every piece."""
+    """doc_id, piece, start, length, ids_crc32 (and ids) of every piece, and row, a number of its document's own."""
     ending = np.array([end], dtype="<u4").tobytes()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,15 +212,17 @@ def tokenized(docs: DataFrame, path: str, size: int = SIZE, end: int = END, keep
                             if keep_ids:
                                 held.append(np.frombuffer(own, dtype="<u4").astype(np.int32))
                     cols = [part.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-                    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+                    cols.append(part.column(2).take(pa.array(at, pa.int64())))
+                    names = ["doc_id", "piece", "start", "length", "ids_crc32", "row"]
                     if keep_ids:
                         cols.append(pa.array(held, pa.list_(pa.int32()))), names.append("ids")
                     yield pa.RecordBatch.from_arrays(cols, names)
         finally:
             done()
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(work), schema)
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, row long" + ", ids array<int>" * keep_ids
+    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.monotonically_increasing_id())
+    return own.mapInArrow(tidy(work), schema)
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -277,13 +279,13 @@ def slots(patterns) -> np.ndarray:
 
 def numbered(pieces: DataFrame, parts: int) -> DataFrame:
     """Adds number: 0, 1, ... within each length. Lengths are dealt to salted parts whose counts give their starts."""
-    salted = pieces.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)).cast("int"))
+    salted = pieces.withColumn("_part", F.pmod(F.xxhash64("row", "piece"), F.lit(parts)).cast("int"))
     held = materialize(salted.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("_n")), "pack-parts")
     before = F.sum("_n").over(W.partitionBy("length").orderBy("_part")) - F.col("_n")
     starts = held.select("length", "_part", before.alias("_first"))
     if held.count() <= BROADCAST_ROWS:
         starts = F.broadcast(starts)
-    order = W.partitionBy("length", "_part").orderBy("doc_id", "piece", "ids_crc32")
+    order = W.partitionBy("length", "_part").orderBy("row", "piece")
     ranked = salted.withColumn("_r", F.row_number().over(order) - 1).join(starts, ["length", "_part"])
     return ranked.withColumn("number", F.col("_first") + F.col("_r")).drop("_part", "_r", "_first")
 
@@ -291,14 +293,17 @@ def numbered(pieces: DataFrame, parts: int) -> DataFrame:
 def pack(
     docs: DataFrame, path: str | None = None, size: int = SIZE, end: int = END, keep_ids: bool = False
 ) -> DataFrame:
-    """Every piece with its sequence_id and offset; with keep_ids its ids too, which sequences() joins up."""
+    """Every piece with its sequence_id and offset; with keep_ids its ids too, which sequences() joins up.
+
+    row is a number that the pieces of one document share, and no other's, so copies of a document can be told apart.
+    """
     spark = docs.sparkSession
     bound_batches(spark)
     pieces = materialize(tokenized(docs, path or public_tokenizers.path(TOKENIZER), size, end, keep_ids), "pack")
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most size rows
     table = spark.sparkContext.broadcast(slots(plan(counts, size)))
     ranked = numbered(pieces, max(16, -(-max(counts.values(), default=0) // PART)))
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])]
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32", "row", *(["ids"] if keep_ids else [])]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         length, first, often, sequence, offset = table.value.T
@@ -311,7 +316,7 @@ def pack(
             cols += [pa.array(sequence[at] + turn // often[at]), pa.array(offset[at] + turn % often[at] * own)]
             yield pa.RecordBatch.from_arrays(cols, [*columns, "sequence_id", "offset"])
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, row long" + ", ids array<int>" * keep_ids
     return ranked.select(*columns, "number").mapInArrow(place, f"{schema}, sequence_id long, offset long")
 
 

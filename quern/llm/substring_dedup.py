@@ -34,6 +34,8 @@ from quern.session import materialize
 SPAN, GRAM = 400, 64
 #: Bytes of segments in a shard, about, and tuples that its sort holds in memory.
 SHARD, MEMORY = 3_000_000, 8_000_000
+#: Hashes of more than a shard are broadcast up to so many (8 bytes each); more are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -109,11 +111,25 @@ def segment_table(docs: DataFrame, span: int, gram: int) -> DataFrame:
     return docs.mapInArrow(work, schema)
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
+    """Texts and segments of a task's rows, of rows with one id and text the first. Such rows come to one task, or a few."""
+    seen = set()
+    for b in batches:
+        keys = list(zip(b.column(2).to_pylist(), b.column(3).to_pylist()))
+        at = []
+        for i, key in enumerate(keys):
+            if key not in seen:
+                seen.add(key)
+                at.append(i)
+        kept = b.take(pa.array(at, pa.int64()))
+        yield kept.column(0).to_pylist(), kept.column(1).to_pylist()
+
+
 def _cut(span: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for texts, owns in _once(batches):
             rows = []
-            for text, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for text, own in zip(texts, owns):
                 data = text.encode()
                 rows += [(x["least"], x["seg"], x["often"], data[x["start"] : x["start"] + x["n"] + span - 1]) for x in own]
             for low in range(0, len(rows), 2_000):
@@ -128,8 +144,8 @@ def _strings(span: int):
     """Every string of the segments, by its hash: key, least, seg, place, weight (2 where the segment itself repeats)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for text, own in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        for texts, owns in _once(batches):
+            for text, own in zip(texts, owns):
                 data = text.encode()
                 for x in own:
                     for low in range(0, x["n"], 20_000):
@@ -189,12 +205,12 @@ def _sorted_shard(span: int, memory: int):
 
 
 def _wanted(docs: DataFrame, same: DataFrame) -> DataFrame:
-    """text, own: the documents that the segments are read from, each with its segments."""
+    """text, own, doc_id, fp: the documents that the segments are read from, each with its segments."""
     wanted = same.groupBy(F.col("at.doc_id").alias("_d"), F.col("at.fp").alias("_f")).agg(
         F.collect_list(F.struct(F.col("at.start").alias("start"), "n", "least", "seg", (F.col("copies") > 1).alias("often"))).alias("own")
     )
     rows = docs.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("fp") == F.col("_f")))
-    return rows.select("text", "own")
+    return rows.select("text", "own", "doc_id", "fp")
 
 
 def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, shard: int = SHARD, memory: int = MEMORY) -> DataFrame:
@@ -214,14 +230,15 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, shard: i
     size = mixed.groupBy("least").agg(F.sum(F.col("n") + span).alias("size"))
     hot = materialize(size.where(F.col("size") > shard).select("least"), "segments-hot")  # fewer rows than shards
     parts = [whole]
-    if not hot.isEmpty():
-        strings = _wanted(docs, mixed.join(F.broadcast(hot), "least", "left_semi"))
+    if n_hot := hot.count():
+        hot = F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot
+        strings = _wanted(docs, mixed.join(hot, "least", "left_semi"))
         strings = strings.mapInArrow(_strings(span), "key binary, least long, seg binary, place long, weight long")
         strings = materialize(strings, "strings")
         again = strings.groupBy("key").agg(F.sum("weight").alias("n")).where("n > 1").select("key")
         places = strings.join(again, "key", "left_semi").groupBy("least", "seg").agg(F.collect_list("place").alias("places"))
         parts.append(places.mapInArrow(_edges, "least long, seg binary, edges array<long>"))
-        mixed = mixed.join(F.broadcast(hot), "least", "left_anti")
+        mixed = mixed.join(hot, "least", "left_anti")
     total = mixed.agg(F.coalesce(F.sum(F.col("n") + span), F.lit(0))).first()[0]
     cut = _wanted(docs, mixed).mapInArrow(_cut(span), "least long, seg binary, often boolean, data binary")
     shards = cut.repartition(max(1, -(-total // shard)), "least")
@@ -230,7 +247,8 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, shard: i
         spans = spans.unionByName(part)
     hits = found.join(spans, ["least", "seg"])
     moved = F.transform("edges", lambda e: e + F.col("start"))
-    return hits.groupBy("doc_id", "fp").agg(F.collect_list(moved).alias("spans"))
+    # rows of one id and text have the same runs, and a set holds each once, before the shuffle already
+    return hits.groupBy("doc_id", "fp").agg(F.collect_set(moved).alias("spans"))
 
 
 def merged(edges: list[list[int]], span: int) -> list[tuple[int, int]]:

@@ -16,7 +16,8 @@ over. Scoring reads every whole text.
 
 Defined results: null and empty texts have no sentence and score 0; a null or unlabelled id is scored like any
 other; without labels of both kinds no word has a weight and all scores are near 0; repeated rows score alike;
-where labels repeat an id the larger label counts; an empty table gives no rows; further columns are kept.
+where labels repeat an id the larger label counts; an empty table gives no rows; further columns are kept, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.llm.columns import fresh, named
 from quern.llm.memory import bound_batches, hand_back, tidy
 from quern.session import materialize
 
@@ -192,8 +194,8 @@ def sentence_masses(text: str, weights: _Weights, bias: float) -> np.ndarray:
     return np.logaddexp(0, total[np.bincount(place) > 0] + bias)
 
 
-def scored(docs: DataFrame, model: Model, column: str = "_score") -> DataFrame:
-    """docs with one more column, the noisy-or of its sentences."""
+def scored(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
+    """docs with one more column at the end, the noisy-or of its sentences, under a name that docs doesn't have (see fresh)."""
     fixed, bias = model.weights, model.bias
     bound_batches(docs.sparkSession)
 
@@ -205,7 +207,7 @@ def scored(docs: DataFrame, model: Model, column: str = "_score") -> DataFrame:
         weights.clear()
         hand_back()
 
-    return docs.withColumn(column, score(F.col("text")))
+    return docs.select(*[named(c) for c in docs.columns], score(F.col("text")).alias(fresh(column, docs.columns)))
 
 
 def offending(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
@@ -307,6 +309,6 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(docs, model).select(
         "doc_id",
         F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD, F.lit(False)).alias("held_out"),
-        F.col("_score").alias("score"),
-        (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"),
+        "score",
+        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )

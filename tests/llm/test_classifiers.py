@@ -39,9 +39,9 @@ def test_noisy_or_and_offending_sentences(spark):
     model = toxicity.fit([text(b) for b in y], y)
     frame = spark.createDataFrame([(1, text(1), 5), (2, text(0), 5), (3, "", 5), (4, None, 5), (5, "...\n!!", 5), (None, text(1), 5)], "doc_id long, text string, score int")
     got = {r.doc_id: r for r in toxicity.scored(frame, model).collect()}
-    assert got[1]._score > 0.5 and got[None]._score > 0.5 and got[2]._score < 0.5 and got[3]._score == got[4]._score == got[5]._score == 0
+    assert got[1].score > 0.5 and got[None].score > 0.5 and got[2].score < 0.5 and got[3].score == got[4].score == got[5].score == 0
     p = [1 / (1 + np.exp(-(model.bias + sum(toxicity._Weights(model.weights)[w] for w in s)))) for s in toxicity.sentences(got[1].text)[0]]
-    assert got[1]._score == pytest.approx(1 - np.prod(1 - np.array(p)), abs=1e-9)
+    assert got[1].score == pytest.approx(1 - np.prod(1 - np.array(p)), abs=1e-9)
     marked = toxicity.offending(frame, model).collect()
     assert {(r.doc_id, r.sentence) for r in marked} == {(1, 2), (None, 2)}
     assert all("grub" in r.text and frame.where(F.col("doc_id").eqNullSafe(F.lit(r.doc_id))).first().text[r.first : r.last] == r.text for r in marked)

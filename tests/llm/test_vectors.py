@@ -86,14 +86,17 @@ def recall(got, rows):
     return hits / (20 * len(asked))
 
 
-@pytest.mark.parametrize("dim", [64, 256])
 @pytest.mark.parametrize("unequal", [False, True])
-def test_query_holds_recall(spark, tmp_path, dim, unequal):
+@pytest.mark.parametrize("dim,n,kind", [(64, 2_000, "table"), (256, 3_000, "normal"), (768, 1_500, "clustered")])
+def test_query_holds_recall(spark, tmp_path, dim, n, kind, unequal):
     """The registered query, at its own parameters, on tables much larger than LEAST."""
-    if dim == 64:
-        x = np.array([r.embedding for r in spark.read.parquet("/root/testdata/check_l/embeddings.parquet").where("vec_id is not null").orderBy("vec_id").limit(4_000).collect()])
+    rng = np.random.default_rng(2)
+    if kind == "table":
+        x = np.array([r.embedding for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").collect()])
     else:
-        x = np.random.default_rng(2).normal(size=(6_000, dim))
+        x = rng.normal(size=(n, dim)) * (0.7 if kind == "clustered" else 1)
+        if kind == "clustered":
+            x += rng.normal(size=(100, dim))[rng.integers(0, 100, n)]
         x /= np.linalg.norm(x, axis=1, keepdims=True)
     if unequal:  # the largest inner product is not the smallest angle
         x = x * (1 + np.arange(len(x)) % 5)[:, None]
@@ -103,6 +106,23 @@ def test_query_holds_recall(spark, tmp_path, dim, unequal):
     assert recall(found(permutation_index.op1_permutation_index(spark, str(tmp_path))), rows) >= 0.9
 
 
+def test_files_add_up_to_the_footrule():
+    """The rows that the files give are those nearest by the footrule of whole orders, written out."""
+    rng = np.random.default_rng(3)
+    x, pivots = rng.normal(size=(400, 8)), permutation_index.unit(rng.normal(size=(40, 8)))
+    f = permutation_index.Files.build(np.arange(400), x, pivots)
+    f.posted = 10
+    own = permutation_index.orders(x, pivots, 10)
+    by = np.argsort(own.ravel(), kind="stable")
+    f.starts, f.rows, f.places = np.searchsorted(own.ravel()[by], np.arange(41)), by // 10, by % 10
+    place = lambda order: np.array([order.tolist().index(p) if p in order else 10 for p in range(40)])
+    assert all(np.array_equal(o, np.argsort(-(permutation_index.unit(v[None]) @ pivots.T)[0], kind="stable")[:10]) for o, v in zip(own, x))
+    for q in range(5):
+        far = np.array([np.abs(place(o) - place(own[q])).sum() for o in own])
+        got = f.nearest(own[q], 60)
+        assert sorted(far[got]) == sorted(far)[:60]
+
+
 def test_sizes_that_overflow(spark, tmp_path):
     """Components to 1e300: ranks follow the true sums, and a score is the nearest long."""
     rng = np.random.default_rng(6)
