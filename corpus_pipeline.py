@@ -11,35 +11,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import line_dedup, mixing, packing, parity_join, toxicity
+from quern.llm.columns import packed, unpacked
 from quern.session import materialize
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose noisy-or score is under the threshold."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.scored(docs, model).where(F.col("_score") < toxicity.THRESHOLD).select(*docs.columns)
+    rows = toxicity.scored(packed(docs, F.col("text").alias("text")), model)
+    return unpacked(rows.where(F.col("score") < toxicity.THRESHOLD), docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the later occurrences of repeated three-line windows."""
-    return line_dedup.dedup_lines(docs).select(*docs.columns)
+    return line_dedup.dedup_lines(docs)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the row with the smallest id; documents without an id all stay.
+    """Of each component of near duplicates the row with the smallest id; rows without an id come after all others.
 
-    Rows are known by a 64-bit hash of id and text, so the texts of a repeated id are judged each on its own.
-    Repeated rows are copies of each other, so one stays.
+    Rows are known by a 64-bit hash of id and text, so the texts of a repeated id, or of none, are judged each on its
+    own. Repeated rows are copies of each other, so one stays.
     """
-    own = docs.where(F.col("doc_id").isNotNull()).withColumn("_key", F.xxhash64("doc_id", "text"))
-    near = parity_join.near_duplicates(own.select(F.col("_key").alias("doc_id"), "text"))
-    near = near.select(F.col("doc_id").alias("_key"), "component_id")
-    ids = own.select("_key", F.col("doc_id").alias("_id")).distinct()
-    first = near.join(ids, "_key").groupBy("component_id").agg(F.min(F.struct("_id", "_key"))["_key"].alias("_key"))
-    kept = own.join(first, "_key", "left_semi")
-    if not near.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-        kept = kept.dropDuplicates(["_key"])
-    return kept.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    known = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.col("text").isNull(), "text")
+    own = packed(docs, known.alias("key"), F.col("doc_id").alias("id"), F.col("text").alias("text"))
+    near = parity_join.near_duplicates(own.select(F.col("key").alias("doc_id"), "text"))
+    near = near.select(F.col("doc_id").alias("key"), "component_id")
+    ids = own.select("key", "id").distinct()
+    order = F.struct(F.col("id").isNull(), "id", "key")
+    first = near.join(ids, "key").groupBy("component_id").agg(F.min(order)["key"].alias("key"))
+    kept = own.join(first, "key", "left_semi")
+    if not near.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        kept = kept.dropDuplicates(["key"])
+    return unpacked(kept, docs.columns)
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
