@@ -2,6 +2,7 @@
 
 from quern.functions.distances import (
     DISTANCE_FUNCTIONS,
+    block_metric,
     cosine_distance,
     euclidean_distance,
     get_distance_function,
@@ -10,6 +11,6 @@ from quern.functions.distances import (
 from quern.functions.rng import normal, uniform
 
 __all__ = [
-    "DISTANCE_FUNCTIONS", "cosine_distance", "euclidean_distance", "get_distance_function", "manhattan_distance",
+    "DISTANCE_FUNCTIONS", "block_metric", "cosine_distance", "euclidean_distance", "get_distance_function", "manhattan_distance",
     "normal", "uniform",
 ]

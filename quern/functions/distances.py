@@ -2,8 +2,8 @@
 
 A distance takes two array<double> columns. Up to UNROLL dimensions, where the dimension is known, the sum is
 written out, which stays inside generated code; beyond that a higher-order function does it. A user's metric is a
-scalar callable of two numpy vectors, run in Arrow batches; it must be symmetric, since one value serves both
-directions of a pair.
+scalar callable of two numpy vectors, or with block_metric() one of two matrices, run in Arrow batches; it must be
+symmetric, since one value serves both directions of a pair.
 """
 
 from __future__ import annotations
@@ -89,11 +89,32 @@ def as_metric(distance: str | Metric | Callable[[np.ndarray, np.ndarray], float]
     def rows(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return np.array([float(distance(a, b)) for a, b in zip(*np.broadcast_arrays(x, y))])
 
+    return Metric(getattr(distance, "__name__", "custom"), _in_batches(rows), rows)
+
+
+def block_metric(distance: Callable[[np.ndarray, np.ndarray], np.ndarray], name: str | None = None) -> Metric:
+    """A user's metric from a callable of two matrices, a pair of vectors in each row, that gives a distance a row.
+
+    One call serves thousands of pairs, where as_metric() of a scalar callable makes a call a pair. It too must be
+    symmetric.
+    """
+
+    def rows(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        x, y = np.broadcast_arrays(x, y)
+        out = np.asarray(distance(x, y), dtype=np.float64)
+        if out.shape != (len(x),):
+            raise ValueError(f"a block metric must give one distance a row, not the shape {out.shape}")
+        return out
+
+    return Metric(name or getattr(distance, "__name__", "custom"), _in_batches(rows), rows)
+
+
+def _in_batches(rows: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Callable[..., Column]:
     def column(x: Column, y: Column, dim: int | None = None) -> Column:
         @F.pandas_udf("double")
         def apply(a: pd.Series, b: pd.Series) -> pd.Series:
-            return pd.Series([float(distance(np.asarray(p), np.asarray(q))) for p, q in zip(a, b)], dtype="float64")
+            return pd.Series(rows(np.stack(a.to_numpy()), np.stack(b.to_numpy())) if len(a) else [], dtype="float64")
 
         return apply(x, y)
 
-    return Metric(getattr(distance, "__name__", "custom"), column, rows)
+    return column

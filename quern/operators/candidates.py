@@ -20,7 +20,7 @@ def new_old_lists(edges: DataFrame) -> DataFrame:
     """v, u, is_new: forward and reverse neighbours, each flag's list without repeats. u may be in both."""
     there = edges.select(F.col("p").alias("v"), F.col("q").alias("u"), "is_new")
     back = edges.select(F.col("q").alias("v"), F.col("p").alias("u"), "is_new")
-    return there.unionByName(back).distinct()
+    return there.unionByName(back).repartition("v").distinct()  # and the sampling by v needs no other shuffle
 
 
 def rho_sample(lists: DataFrame, size: int, seed: int, round_no: int, weight: Column | None = None) -> DataFrame:
@@ -30,17 +30,26 @@ def rho_sample(lists: DataFrame, size: int, seed: int, round_no: int, weight: Co
     return lists.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= size).select("v", "u", "is_new")
 
 
-def two_hop(edges: DataFrame, sampled: DataFrame) -> DataFrame:
-    """v, c, u, from_old: what new neighbours' lists, and old neighbours' sampled new lists, lead to.
-
-    v itself and v's present neighbours are left out. A candidate has a row for each way that leads to it.
-    """
+def _paths(edges: DataFrame, sampled: DataFrame) -> DataFrame:
+    """v, c, u, from_old: what new neighbours' lists, and old neighbours' sampled new lists, lead to, but for v itself."""
     new, old = sampled.where("is_new").select("v", "u"), sampled.where("not is_new").select("v", "u")
     via_new = new.join(edges.select(F.col("p").alias("u"), F.col("q").alias("c")), "u").select("v", "c", "u", F.lit(False).alias("from_old"))
     hop = new.select(F.col("v").alias("u"), F.col("u").alias("c"))
     via_old = old.join(hop, "u").select("v", "c", "u", F.lit(True).alias("from_old"))
-    found = via_new.unionByName(via_old).where("c <> v")
-    return found.join(edges.select(F.col("p").alias("v"), F.col("q").alias("c")), ["v", "c"], "left_anti")
+    return via_new.unionByName(via_old).where("c <> v")
+
+
+def two_hop(edges: DataFrame, sampled: DataFrame) -> DataFrame:
+    """v, c, u, from_old of all ways that lead to a candidate; v itself and v's present neighbours are left out."""
+    return _paths(edges, sampled).join(edges.select(F.col("p").alias("v"), F.col("q").alias("c")), ["v", "c"], "left_anti")
+
+
+def fresh_candidates(edges: DataFrame, sampled: DataFrame) -> DataFrame:
+    """candidates(two_hop(edges, sampled)) by one shuffle: present neighbours go into the grouping and drop what they meet."""
+    there = edges.select(F.col("p").alias("v"), F.col("q").alias("c"), F.lit(None).cast("bigint").alias("u"), F.lit(None).cast("boolean").alias("from_old"))
+    both = _paths(edges, sampled).unionByName(there).repartition("v")
+    own = both.groupBy("v", "c").agg(F.min(F.when(F.col("u").isNotNull(), F.struct("from_old", "u"))).alias("_f"), F.count(F.when(F.col("u").isNull(), 1)).alias("_there"))
+    return own.where("_there = 0").select("v", "c", F.col("_f.u").alias("source"))
 
 
 def candidates(found: DataFrame) -> DataFrame:

@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from quern.functions.distances import Metric, as_metric
 
-#: Rows and queries of one cell.
-SEGMENT, BLOCK = 8_192, 1_024
-#: Cells of a grid at least, so that small inputs use all cores.
-SPREAD = 8
+#: Points of a block at most, and bytes of its vectors; bytes of a batch's distances.
+SIDE, SIDE_BYTES, BATCH_BYTES = 32_768, 64_000_000, 16_000_000
+#: Blocks at least, as far as points allow, so that small inputs use all cores.
+SPREAD = 4
 
 
 def top_k(edges: DataFrame, k: int, *order) -> DataFrame:
@@ -32,54 +32,88 @@ def pair_distances(points: DataFrame, pairs: DataFrame, distance="euclidean", di
     return pairs.join(a, "p").join(b, "q").withColumn("dist", metric.column(F.col("_x"), F.col("_y"), dim)).drop("_x", "_y")
 
 
+def _near(metric: Metric, x: np.ndarray):
+    """near(y) gives distances, or what has their order, of a batch's rows to x's by one matrix product, and a bound on
+    their error; None for metrics that have no product."""
+    eps, d = np.finfo(float).eps, x.shape[1]
+    if metric.name == "euclidean":
+        sizes = (x * x).sum(1)
+
+        def near(y):
+            own = (y * y).sum(1)
+            return sizes[None] + own[:, None] - 2 * (y @ x.T), 8 * (d + 4) * eps * (sizes.max(initial=0) + own)[:, None]
+
+        return near
+    if metric.name == "cosine":
+        unit = lambda v: v / np.where((size := np.sqrt((v * v).sum(1, keepdims=True))) == 0, 1, size)
+        whole = unit(x)
+        return lambda y: (1 - unit(y) @ whole.T, 8 * (d + 4) * eps)
+    return None
+
+
 def _nearest(metric: Metric, x: np.ndarray, ids: np.ndarray, y: np.ndarray, own: np.ndarray, k: int):
-    """(query places, row places, distances) of each query's k nearest other rows, ties to smaller ids."""
-    out = []
-    lengths = (x * x).sum(1)
-    for i in range(len(y)):
-        if metric.name == "euclidean":  # a product finds the few that can be among the nearest; they are measured exactly
-            near = lengths + y[i] @ y[i] - 2 * (x @ y[i])
-            near[ids == own[i]] = np.inf
-            edge = np.partition(near, min(k, len(near)) - 1)[min(k, len(near)) - 1]
-            at = np.flatnonzero((near <= edge + 1e-9 * (lengths.max() + y[i] @ y[i])) & (ids != own[i]))
-            dist = metric.rows(x[at], y[i])
+    """Query places, row places and distances of each query's k nearest other rows, ties to smaller ids.
+
+    Where the metric has a product, one of a batch of queries with all rows leaves those that its error bound can't
+    tell from the k nearest; only these are measured exactly.
+    """
+    near, out = _near(metric, x), []
+    batch = max(1, BATCH_BYTES // (8 * max(1, len(x)) * (1 if near else x.shape[1])))
+    k = min(k, len(x))
+    for low in range(0, len(y), batch):
+        q = y[low : low + batch]
+        if near:
+            dist, slack = near(q)
+        else:
+            dist, slack = np.stack([metric.rows(x, v) for v in q]), 0.0
+        dist[own[low : low + batch, None] == ids[None]] = np.inf
+        edge = np.partition(dist, k - 1, axis=1)[:, k - 1 : k] + 2 * slack
+        i, j = np.nonzero((dist <= edge) & (dist < np.inf))
+        if near:
+            dist = np.concatenate([metric.rows(x[j[s : s + 4_096]], q[i[s : s + 4_096]]) for s in range(0, len(i), 4_096)] or [np.zeros(0)])
         else:
-            at = np.flatnonzero(ids != own[i])
-            dist = metric.rows(x[at], y[i])
-        order = np.lexsort((ids[at], dist))[:k]
-        out.append((np.full(len(order), i), at[order], dist[order]))
-    return out
+            dist = dist[i, j]
+        order = np.lexsort((ids[j], dist, i))
+        i, j, dist = i[order], j[order], dist[order]
+        first = np.arange(len(i)) - np.searchsorted(i, i) < k
+        out.append((low + i[first], j[first], dist[first]))
+    return [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, int), np.zeros(0, int), np.zeros(0)]
 
 
-def knn_exact(points: DataFrame, k: int, n: int, distance="euclidean", segment: int = SEGMENT, block: int = BLOCK) -> DataFrame:
+def knn_exact(points: DataFrame, k: int, n: int, distance="euclidean", side: int | None = None) -> DataFrame:
     """p, rank, q, dist of every point's k nearest others: all if fewer; ties to smaller ids.
 
-    Rows are dealt to segments and queries to blocks, a task takes one cell of the grid, and the cells' best are
-    ranked in a second step. So memory per task is bounded and no pair leaves a task unless it is a cell's best.
+    Points are dealt to blocks, and a task takes two blocks and searches each for the other's points, so a vector is
+    sent once for each block. side: points of a block, by default as many as SIDE_BYTES hold. Memory per task is
+    bounded, and no pair leaves a task unless it is a block's best; these are ranked in a second step.
     """
     metric = as_metric(distance)
-    segs, blks = max(1, math.ceil(n / segment)), max(1, math.ceil(n / block))
-    blks = max(blks, math.ceil(SPREAD / segs))
-    rows = points.select(
-        F.pmod(F.xxhash64("id"), F.lit(segs)).cast("int").alias("seg"),
-        F.explode(F.sequence(F.lit(0), F.lit(blks - 1))).alias("blk"), F.lit(False).alias("asked"), "id", "vec",
-    )
-    asked = points.select(
-        F.explode(F.sequence(F.lit(0), F.lit(segs - 1))).alias("seg"),
-        F.pmod(F.xxhash64("id"), F.lit(blks)).cast("int").alias("blk"), F.lit(True).alias("asked"), "id", "vec",
-    )
+    if side is None:
+        dim = max(1, (points.select(F.size("vec").alias("d")).first() or [1])[0])
+        side = max(256, min(SIDE, SIDE_BYTES // (8 * dim)))
+    blocks = max(1, math.ceil(n / side), min(SPREAD, math.ceil(n / 128)))
+    dealt = points.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("own"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select(F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "vec")
 
     def cell(t: pa.Table) -> pa.Table:
-        mask = t.column("asked").to_numpy()
-        take = lambda m: t.take(pa.array(np.flatnonzero(m)))
-        parts = [take(~mask), take(mask)]
-        ids = [p.column("id").to_numpy() for p in parts]
-        vecs = [p.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(p), -1) if len(p) else None for p in parts]
-        found = _nearest(metric, vecs[0], ids[0], vecs[1], ids[1], k) if all(map(len, parts)) else []
-        i, j, d = [np.concatenate(c) for c in zip(*found)] if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-        return pa.table({"p": ids[1][i], "q": ids[0][j], "dist": d})
-
-    cells = rows.unionByName(asked).repartition(segs * blks, "seg", "blk").groupBy("seg", "blk")
+        low, high, own = (t.column(c).to_numpy() for c in ("low", "high", "own"))
+        parts = []
+        for block in dict.fromkeys((low[0], high[0])):
+            part = t.take(pa.array(np.flatnonzero(own == block)))
+            flat = part.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            parts.append((part.column("id").to_numpy(), flat.reshape(len(part), -1)))
+        turns = [(0, 0)] if low[0] == high[0] else [(0, 1), (1, 0)]
+        found = []
+        for a, b in turns:
+            (ids, x), (asked, y) = parts[a], parts[b]
+            if len(ids) and len(asked):
+                i, j, dist = _nearest(metric, x, ids, y, asked, k)
+                found.append((asked[i], ids[j], dist))
+        cols = [np.concatenate(c) for c in zip(*found)] if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        return pa.table(dict(zip(("p", "q", "dist"), cols)))
+
+    cells = dealt.repartition(blocks * (blocks + 1) // 2, "low", "high").groupBy("low", "high")
     best = cells.applyInArrow(cell, "p bigint, q bigint, dist double")
     return top_k(best, k, "dist", "q").select("p", F.col("_rank").alias("rank"), "q", "dist")
 

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.distances import as_metric
+from quern.functions.distances import Metric, as_metric
 from quern.functions.rng import uniform
-from quern.operators.exact import pair_distances, recall, top_k
+from quern.operators.exact import recall, top_k
 from quern.operators.points import indexed, to_matrix
 
-#: Vectors are broadcast to the distance step up to so many bytes; larger tables are joined.
-BROADCAST_BYTES = 64_000_000
+#: Vectors are broadcast to the distance step up to so many bytes; beyond that they go to cells of two blocks of
+#: BLOCK_BYTES, each with CELL_PAIRS pairs, about.
+BROADCAST_BYTES, BLOCK_BYTES, CELL_PAIRS = 64_000_000, 64_000_000, 4_000_000
 
 
 def draws(k: int) -> int:
@@ -37,19 +40,48 @@ def random_edges(points: DataFrame, k: int, n: int, seed: int) -> DataFrame:
     return top_k(drawn.groupBy("p", "q").agg(F.min("j").alias("j")), k, "j").select("p", "q")
 
 
+def block_distances(points: DataFrame, pairs: DataFrame, metric: Metric, blocks: int, salts: int = 1) -> DataFrame:
+    """p, q, dist of the pairs (p, q), measured where two blocks of vectors meet.
+
+    Points are dealt to blocks and a pair goes to the cell of its two blocks; salts deal a cell's pairs to so many
+    tasks. A vector is sent once to each cell that has a pair of it, however many pairs those are.
+    """
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    salt = F.pmod(F.xxhash64("p", "q"), F.lit(salts)).cast("int").alias("s")
+    own = pairs.select("p", "q", F.least(block("p"), block("q")).alias("a"), F.greatest(block("p"), block("q")).alias("b"), salt)
+    asked = own.select("a", "b", "s", F.explode(F.array("p", "q")).alias("of")).distinct()
+    asked = asked.groupBy("of").agg(F.collect_list(F.struct("a", "b", "s")).alias("cells"))  # at most blocks * salts
+    sent = points.join(asked, F.col("id") == F.col("of")).select(F.explode("cells").alias("cell"), "id", "vec")
+    sent = sent.select(F.col("cell.a").alias("x"), F.col("cell.b").alias("y"), F.col("cell.s").alias("z"), "id", "vec")
+    rows = metric.rows
+
+    def work(pairs: pa.Table, vectors: pa.Table) -> pa.Table:
+        ids = vectors.column("id").to_numpy()
+        flat = vectors.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        x, by = flat.reshape(len(ids), -1) if len(ids) else flat, np.argsort(ids)
+        p, q = (by[np.searchsorted(ids, pairs.column(c).to_numpy(), sorter=by)] if len(pairs) else by[:0] for c in ("p", "q"))
+        dist = [rows(x[p[s : s + 4_096]], x[q[s : s + 4_096]]) for s in range(0, len(p), 4_096)]
+        return pa.table({"p": pairs.column("p"), "q": pairs.column("q"), "dist": np.concatenate(dist) if dist else np.zeros(0)})
+
+    cells = own.groupBy("a", "b", "s").cogroup(sent.groupBy("x", "y", "z"))
+    return cells.applyInArrow(work, "p bigint, q bigint, dist double")
+
+
 class Distances:
-    """Measures pairs; broadcasts the vectors where they are small enough, else joins them."""
+    """Measures pairs; broadcasts the vectors where they are small enough, else sends them by blocks to the pairs."""
 
-    def __init__(self, points: DataFrame, n: int, dim: int, distance="euclidean"):
-        self.points, self.dim, self.metric = points, dim, as_metric(distance)
-        self.matrix = None
-        if n and n * dim * 8 <= BROADCAST_BYTES:
+    def __init__(self, points: DataFrame, n: int, dim: int, distance="euclidean", most: int | None = None):
+        self.points, self.metric = points, as_metric(distance)
+        size, most = n * dim * 8, BROADCAST_BYTES if most is None else most
+        self.matrix, self.blocks = None, max(1, math.ceil(size / BLOCK_BYTES))
+        if n and size <= most:
             self.matrix = points.sparkSession.sparkContext.broadcast(to_matrix(points))
 
-    def __call__(self, pairs: DataFrame) -> DataFrame:
-        """p, q, dist of the pairs (p, q)."""
+    def __call__(self, pairs: DataFrame, n_pairs: int = 0) -> DataFrame:
+        """p, q, dist of the pairs (p, q). n_pairs: how many they are, about, where that is known."""
         if self.matrix is None:
-            return pair_distances(self.points, pairs.select("p", "q"), self.metric, self.dim).select("p", "q", "dist")
+            salts = math.ceil(n_pairs / (CELL_PAIRS * self.blocks * (self.blocks + 1) / 2))
+            return block_distances(self.points, pairs.select("p", "q"), self.metric, self.blocks, max(1, salts))
         matrix, rows = self.matrix, self.metric.rows
 
         def work(batches):
@@ -81,19 +113,20 @@ def mark_all_old(edges: DataFrame) -> DataFrame:
 
 
 def proposals(measured: DataFrame) -> DataFrame:
-    """Both directions of the measured pairs, each once."""
-    both = measured.select("p", "q", "dist").unionByName(measured.select(F.col("q").alias("p"), F.col("p").alias("q"), "dist"))
-    return both.groupBy("p", "q").agg(F.min("dist").alias("dist"))
+    """Both directions of the measured pairs."""
+    ways = F.array(F.struct(F.col("p"), F.col("q")), F.struct(F.col("q").alias("p"), F.col("p").alias("q")))
+    return measured.select(F.explode(ways).alias("way"), "dist").select("way.p", "way.q", "dist")
 
 
 def merge(edges: DataFrame, proposed: DataFrame, k: int) -> DataFrame:
     """Each p's k nearest of its edges and the proposals; an edge that is there wins a tie, then the smaller q.
 
-    is_new tells what came in. A proposal that is an edge already, or a loop, changes nothing.
+    is_new tells what came in. A proposal that is an edge already, or a loop, changes nothing. One shuffle by p serves
+    the grouping by (p, q) and the ranking.
     """
     fresh = proposed.where("p <> q").select("p", "q", "dist", F.lit(True).alias("is_new"))
     both = mark_all_old(edges).select("p", "q", "dist", "is_new").unionByName(fresh)
-    own = both.groupBy("p", "q").agg(F.min("dist").alias("dist"), F.min("is_new").alias("is_new"))
+    own = both.repartition("p").groupBy("p", "q").agg(F.min("dist").alias("dist"), F.min("is_new").alias("is_new"))
     return top_k(own, k, "dist", "is_new", "q").select("p", "q", "dist", "is_new")
 
 

@@ -17,8 +17,13 @@ def empty_counts(like: DataFrame) -> DataFrame:
 
 def successes(cands: DataFrame, after: DataFrame) -> DataFrame:
     """v, u, freq: one for the first source of each candidate that v's own list took in."""
+    return success_events(cands, after).groupBy("v", "u").agg(F.count(F.lit(1)).alias("freq"))
+
+
+def success_events(cands: DataFrame, after: DataFrame) -> DataFrame:
+    """v, u: a row for each candidate that v's own list took in, with its first source."""
     took = after.where("is_new").select(F.col("p").alias("v"), F.col("q").alias("c"))
-    return cands.join(took, ["v", "c"]).groupBy("v", F.col("source").alias("u")).agg(F.count(F.lit(1)).alias("freq"))
+    return cands.join(took, ["v", "c"]).select("v", F.col("source").alias("u"))
 
 
 def record(counts: DataFrame, delta: DataFrame) -> DataFrame:
@@ -75,6 +80,46 @@ def top_sources(counts: DataFrame, k: int) -> DataFrame:
     return counts.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).select("v", "u", "freq")
 
 
+class SketchTracker:
+    """Success counts in bounded space: a frequent-items sketch for each v, merged from round to round.
+
+    Each round's successes, a row each, go into sketches by v (approx_top_k_accumulate), which are combined with those
+    so far (approx_top_k_combine) and written. A sketch holds at most 3/4 of its map, and an estimate is off by at
+    most error() of the v's successes; while a v has no more sources than it holds, counts are exact.
+    """
+
+    def __init__(self, like: DataFrame, items: int = 64):
+        """items: the size of a sketch's map, a power of two."""
+        self.items, self._like = items, like
+        self.reset()
+
+    def reset(self) -> None:
+        self.sketches: DataFrame | None = None
+        self.total_updates = 0
+
+    def error(self) -> float:
+        """The bound of the error, as a share of a v's successes."""
+        return 3.5 / self.items
+
+    def record(self, events: DataFrame) -> None:
+        """events: v, u, a row a success."""
+        own = events.groupBy("v").agg(F.expr(f"approx_top_k_accumulate(u, {self.items})").alias("sketch"), F.count(F.lit(1)).alias("n"))
+        before = self.sketches
+        if before is not None:
+            both = before.unionByName(own).groupBy("v")
+            own = both.agg(F.expr(f"approx_top_k_combine(sketch, {self.items})").alias("sketch"), F.sum("n").alias("n"))
+        self.sketches = materialize(own, "sketches", total=F.coalesce(F.sum("n"), F.lit(0)))
+        self.total_updates = self.sketches.counts["total"]
+        discard(before)
+
+    def estimates(self) -> DataFrame:
+        """v, u, freq, n (successes of v): the sources that the sketches hold."""
+        if self.sketches is None:
+            return empty_counts(self._like).withColumn("n", F.col("freq"))
+        own = self.sketches.select("v", "n", F.explode(F.expr(f"approx_top_k_estimate(sketch, {self.items})")).alias("e"))
+        return own.select("v", F.col("e.item").alias("u"), F.col("e.count").alias("freq"), "n")
+
+
 class SourceFrequencyTracker:
     """Counts of successes by (v, u), at most 2^lg_max for each v, kept as a written table from round to round."""
 

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions.distances import block_metric
 from quern.operators import candidates as cand
 from quern.operators import exact, graph, points, tracking
 from quern.plans import descent, oracle
@@ -135,9 +136,23 @@ def _lists(r: Run) -> DataFrame:
     return graph.to_lists(r.graph(2)).select("p", F.posexplode("neighbors").alias("rank", "q")).select("p", (F.col("rank") + 1).alias("rank"), "q")
 
 
-def _largest(a, b) -> float:
-    """A user's metric: the largest difference of a component."""
-    return abs(a - b).max()
+def _largest(a, b):
+    """A user's metric on matrices: the largest difference of a component, a row."""
+    return abs(a - b).max(axis=1)
+
+
+def _sketch(r: Run) -> DataFrame:
+    """v, n, sources, within: each point's successes of two rounds, its sources, and whether all sketched counts are in their bound."""
+    r.graph(2)
+    exact_counts, tracker = None, tracking.SketchTracker(r.points, 8)
+    for t in (1, 2):
+        tracker.record(tracking.success_events(r.found[t], r.graphs[t]))
+        own = tracking.successes(r.found[t], r.graphs[t])
+        exact_counts = own if exact_counts is None else tracking.record(exact_counts, own)
+    there = exact_counts.groupBy("v").agg(F.sum("freq").cast("bigint").alias("n"), F.count(F.lit(1)).alias("sources"))
+    both = exact_counts.join(tracker.estimates().select("v", "u", F.col("freq").alias("near")), ["v", "u"], "left").join(there, "v")
+    off = F.abs(F.col("freq") - F.coalesce("near", F.lit(0)))
+    return both.groupBy("v", "n", "sources").agg(F.bool_and(off <= F.ceil(F.col("n") * tracker.error())).alias("within"))
 
 
 def _json_result(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,11 +205,12 @@ QUERIES |= {
     "gen_gaussian": lambda spark, sf_dir: _flat(generators.generate_gaussian(spark, 500, 8, 5.0, 2.0, SEED)),
     "gen_high_hubness": lambda spark, sf_dir: _flat(generators.generate_high_hubness(spark, 500, 100, SEED)),
     "gen_clustered": lambda spark, sf_dir: _flat(generators.generate_clustered(spark, 500, 8, 7, seed=SEED)),
-    "pair_distance_custom": _pairs(_largest),
+    "pair_distance_custom": _pairs(block_metric(_largest)),
     "new_neighbors": _on_run(lambda r: graph.neighbors(r.graph(1), True).select("p", "rank", "q")),
     "old_neighbors": _on_run(lambda r: graph.neighbors(r.graph(1), False).select("p", "rank", "q")),
     "source_frequency": _on_run(lambda r: tracking.frequency(_tracked(r), graph.reverse_edges(r.graph(1, ADAPTIVE)))),
     "topk_sources": _on_run(lambda r: tracking.top_sources(_tracked(r), 5)),
+    "source_sketch": _on_run(_sketch),
     "json_result": _json_result,
     "descent_naive_converged": _on_run(_converged(OPTIMIZED, naive=True)),
     "descent_optimized_converged": _on_run(_converged(OPTIMIZED)),

@@ -5,7 +5,7 @@ from __future__ import annotations
 K, SIZE, SEED, RATE, DRAWS = 10, 8, 42, 0.5, 46
 BASE, BOOST = 1.0, 0.5
 #: Rounds that the SQL of whole descents spells out; the loops end sooner on the test tables.
-ROUNDS = 12
+ROUNDS, NET_ROUNDS = 12, 20
 
 
 def uniform(tag: str, *keys: str, seed: int = SEED) -> str:
@@ -133,6 +133,21 @@ WHERE r <= greatest(1, floor(n * {RATE}))""")
   SELECT p, q, dist, row_number() OVER (PARTITION BY p ORDER BY dist, q) AS r FROM (
     SELECT x.id AS p, y.id AS q, {d} AS dist FROM pts x JOIN pts y ON x.id <> y.id)) WHERE r <= {K}""")
 
+    def net_round(self, t: int) -> Chain:
+        """A cut round with hub-damped weights after the warm-up of two, and penalties for edges that go: counts z{t}, and y{t} who brought what."""
+        if t > 2:
+            self.add(f"d{t}", f"SELECT q, count(*) AS degree FROM b{t - 1} GROUP BY q").lists(t).sample(t).hop(t)
+            self.weights(t, f"z{t - 1}", f"d{t}").cut(t, f"w{t}", "weight")._merge(t, f"SELECT v, c FROM k{t}")
+        else:
+            self.cut_round(t)
+        self.success(t, f"k{t}", f"z{t - 1}" if t > 1 else None)
+        brought = f"SELECT k.v, k.c, k.source FROM k{t} k JOIN b{t} b ON b.p = k.v AND b.q = k.c WHERE b.is_new"
+        if t == 1:
+            return self.add("z1", "SELECT v, u, freq FROM q1").add("y1", brought)
+        self.add(f"g{t}", f"SELECT p AS v, q AS c FROM b{t - 1} EXCEPT SELECT p, q FROM b{t}")
+        lost = f"SELECT y.v, y.source AS u, count(*) AS n FROM y{t - 1} y JOIN g{t} g ON y.v = g.v AND y.c = g.c GROUP BY 1, 2"
+        self.add(f"z{t}", f"SELECT v, u, freq FROM (SELECT q.v, q.u, CAST(q.freq - coalesce(l.n, 0) AS BIGINT) AS freq FROM q{t} q LEFT JOIN ({lost}) l ON q.v = l.v AND q.u = l.u) WHERE freq > 0")
+        return self.add(f"y{t}", f"SELECT y.v, y.c, y.source FROM y{t - 1} y WHERE NOT EXISTS (SELECT 1 FROM g{t} g WHERE g.v = y.v AND g.c = y.c) UNION ALL {brought}")
 
     def until(self, rounds: int, least: str) -> str:
         """The sorted lists after the first of the rounds that brought fewer new edges than least, else after the last."""
@@ -211,6 +226,10 @@ def build() -> dict[str, str]:
   UNION ALL SELECT 2, (SELECT count(*) FROM b2 WHERE is_new), (SELECT count(*) FROM c2))""").sql(
         "SELECT (SELECT CAST(sum(dist) AS BIGINT) FROM lg) AS dist_comps, 2 AS iterations, 'random' AS mode, CAST(1.0 AS DOUBLE) AS rate, iter, updates, dist FROM lg"
     )
+    taken = " UNION ALL ".join(f"SELECT c.v, c.source AS u FROM c{t} c JOIN b{t} b ON b.p = c.v AND b.q = c.c WHERE b.is_new" for t in (1, 2))
+    out["source_sketch"] = second().add("sk", f"SELECT v, u, count(*) AS freq FROM ({taken}) GROUP BY v, u").sql(
+        "SELECT v, CAST(sum(freq) AS BIGINT) AS n, count(*) AS sources, true AS within FROM sk GROUP BY v"
+    )
     few = f"0.001 * (SELECT count(*) FROM pts) * {K}"
     naive, optimized, adaptive = Chain().init(), Chain().init(), Chain().init()
     for t in range(1, ROUNDS + 1):
@@ -220,6 +239,10 @@ def build() -> dict[str, str]:
     out["descent_naive_converged"] = naive.until(ROUNDS, "1")
     out["descent_optimized_converged"] = optimized.until(ROUNDS, few)
     out["descent_adaptive_converged"] = adaptive.until(ROUNDS, few)
+    net = Chain().init()
+    for t in range(1, NET_ROUNDS + 1):
+        net.net_round(t)
+    out["descent_net_converged"] = net.until(NET_ROUNDS, few)
     flat = "SELECT id, j, round({}, 6) AS x FROM range(500) a(id), range({}) b(j)"
     out["gen_uniform"] = flat.format(f"2.0 + 3.0 * {uniform('uniform', 'id', 'j')}", 8)
     out["gen_gaussian"] = flat.format(f"5.0 + 2.0 * {normal('gaussian', 'id', 'j')}", 8)

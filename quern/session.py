@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 
 def local_session(app: str = "quern", cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -43,22 +43,55 @@ def scratch_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet to the shared scratch folder and read it back.
+def materialize(df: DataFrame, tag: str, path: str | None = None, **counts) -> DataFrame:
+    """Write df as Parquet to the shared scratch folder (or to path) and read it back.
 
-    This cuts lineage and survives lost executors, because the files are shared and not kept by an executor.
+    This cuts lineage and survives lost executors, because the files are shared and not kept by an executor. counts:
+    aggregates by name, taken while the rows are written and found in the result's .counts.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/quern/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = path or f"{scratch_dir(spark)}/quern/{tag}-{uuid.uuid4().hex}"
+    seen = Observation() if counts else None
+    own = df.observe(seen, *[c.alias(name) for name, c in counts.items()]) if counts else df
+    own.write.mode("overwrite").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
+    out.counts = seen.get if counts else {}
     return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def _file_system(spark: SparkSession, path: str):
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, path = _file_system(spark, path)
+    return fs.exists(path)
+
+
+def listed(spark: SparkSession, folder: str) -> list[str]:
+    """Names in the folder; none where it is absent."""
+    fs, path = _file_system(spark, folder)
+    return sorted(f.getPath().getName() for f in fs.listStatus(path)) if fs.exists(path) else []
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that is there whole or not at all: written under another name and renamed."""
+    fs, part = _file_system(spark, f"{path}.part")
+    out = fs.create(part, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.rename(part, _file_system(spark, path)[1])
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return "\n".join(r.value for r in spark.read.text(path).collect())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, path = _file_system(spark, path)
+    fs.delete(path, True)
 
 
 def discard(*frames: DataFrame | None) -> None:

@@ -1,6 +1,6 @@
 """Vector sources, generators and result sinks."""
 
-from quern.sources.fvecs import load_points, read_fvecs
+from quern.sources.binary import load_points, load_sift, read_fvecs, read_npy
 from quern.sources.generators import (
     generate_clustered,
     generate_gaussian,
@@ -11,5 +11,5 @@ from quern.sources.results import read_result, write_result
 
 __all__ = [
     "generate_clustered", "generate_gaussian", "generate_high_hubness", "generate_uniform", "load_points",
-    "read_fvecs", "read_result", "write_result",
+    "load_sift", "read_fvecs", "read_npy", "read_result", "write_result",
 ]

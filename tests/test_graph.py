@@ -39,7 +39,7 @@ def test_exact_matches_brute_force(spark, small, name):
         "euclidean": lambda a, b: np.sqrt(((a - b) ** 2).sum()), "manhattan": lambda a, b: np.abs(a - b).sum(),
         "cosine": lambda a, b: 1 - a @ b / (np.sqrt(a @ a) * np.sqrt(b @ b)),
     }[name]
-    assert lists(exact.knn_exact(small, 5, 50, name, segment=16, block=16)) == brute(small, 5, by)
+    assert lists(exact.knn_exact(small, 5, 50, name, side=16)) == brute(small, 5, by)
 
 
 def test_exact_with_copies_and_large_k(spark):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quern import cli
 from quern.sources import (
-    generate_clustered, generate_gaussian, generate_high_hubness, generate_uniform, load_points, read_fvecs, read_result, write_result,
+    generate_clustered, generate_gaussian, generate_high_hubness, generate_uniform, load_points, load_sift, read_fvecs, read_npy, read_result, write_result,
 )
 
 
@@ -45,6 +45,46 @@ def test_fvecs(spark, tmp_path):
         load_points(spark, str(tmp_path / "none.fvecs"), str(tmp_path / "nothing"))
 
 
+def test_ranges_of_records(spark, tmp_path):
+    """Many tasks a file, limits and ids that choose the records read; fvecs, npy and Parquet give equal points."""
+    x = np.random.default_rng(1).normal(size=(1_000, 3)).astype("<f4")
+    for i, part in enumerate((x[:700], x[700:])):
+        raw = np.concatenate([np.full((len(part), 1), 3, "<i4").view("<f4"), part], axis=1)
+        (tmp_path / f"{i}.fvecs").write_bytes(raw.tobytes())
+    np.save(tmp_path / "x.npy", x.astype(np.float64))
+    own = read_fvecs(spark, str(tmp_path / "0.fvecs"), rows=100)
+    assert own.rdd.getNumPartitions() == 7 and (matrix(own) == x[:700]).all()
+    (tmp_path / "all").mkdir()
+    for i in (0, 1):
+        (tmp_path / f"{i}.fvecs").rename(tmp_path / "all" / f"{i}.fvecs")
+    both = load_sift(spark, f"file://{tmp_path}/all", rows=300)
+    assert both.rdd.getNumPartitions() == 4 and (matrix(both) == x).all()
+    assert read_fvecs(spark, str(tmp_path / "all"), n=750, rows=300).rdd.getNumPartitions() == 4
+    npy = read_npy(spark, str(tmp_path / "x.npy"), rows=250)
+    assert npy.rdd.getNumPartitions() == 4 and (matrix(npy) == x).all() and (matrix(load_points(spark, "/none", str(tmp_path / "x.npy"), 9)) == x[:9]).all()
+    npy.write.parquet(str(tmp_path / "p"))
+    assert (matrix(load_points(spark, "/none", str(tmp_path / "p"))) == x).all()
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        few = read_npy(spark, str(tmp_path / "x.npy"), rows=250).where("id >= 240 and id < 260")
+        assert few.rdd.getNumPartitions() == 1 and (matrix(few) == x[240:260]).all()
+        assert read_npy(spark, str(tmp_path / "x.npy")).where("id = 5 and vec[0] is not null").count() == 1
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_odd_files(spark, tmp_path):
+    (tmp_path / "e.fvecs").write_bytes(b"")
+    assert read_fvecs(spark, str(tmp_path / "e.fvecs")).count() == 0
+    np.save(tmp_path / "f.npy", np.asfortranarray(np.ones((3, 2))))
+    whole = (np.save(tmp_path / "i.npy", np.arange(8, dtype="<i4").reshape(4, 2)), (tmp_path / "i.npy").read_bytes())[1]
+    (tmp_path / "cut.npy").write_bytes(whole[:-3])
+    assert matrix(read_npy(spark, str(tmp_path / "cut.npy"))).tolist() == [[0, 1], [2, 3], [4, 5]]
+    for bad in ("f.npy", "e.fvecs"):
+        with pytest.raises(Exception, match="npy file|C order"):
+            read_npy(spark, str(tmp_path / bad)).count()
+
+
 def test_results(spark, tmp_path):
     run = {
         "recall": 0.5, "dist_comps": 7, "iterations": 1, "iter_log": [{"iter": 1, "updates": 2, "dist": 7, "time": 0.1}],
