@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -132,6 +133,16 @@ def _flat(pts: DataFrame) -> DataFrame:
     return pts.select("id", F.posexplode("vec").alias("j", "x")).select("id", F.col("j").cast("bigint").alias("j"), F.round("x", 6).alias("x"))
 
 
+def _generated(make):
+    """A generated point for each row of the table, its components a row each."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ids = points.as_points(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).select("id")
+        return _flat(make(spark, ids.count(), ids))
+
+    return query
+
+
 def _lists(r: Run) -> DataFrame:
     return graph.to_lists(r.graph(2)).select("p", F.posexplode("neighbors").alias("rank", "q")).select("p", (F.col("rank") + 1).alias("rank"), "q")
 
@@ -156,12 +167,16 @@ def _sketch(r: Run) -> DataFrame:
 
 
 def _json_result(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A run's log written as JSON and read again."""
-    log = descent.descend(Run(spark, sf_dir).points, OPTIMIZED, rounds=2).log
-    run = {"recall": 0.0, "dist_comps": sum(x["dist"] for x in log), "iterations": len(log), "iter_log": log, "time": 0.0, "mode": "random", "rate": 1.0, "rho": RHO}
+    """A run's result, with its recall, written as JSON and read again."""
+    r = Run(spark, sf_dir)
+    began = time.perf_counter()
+    found = descent.descend(r.points, OPTIMIZED, rounds=2)
+    spent = time.perf_counter() - began
+    share = exact.recall(found.graph, exact.knn_exact(r.points, K, r.n)).first()["recall"]
+    run = {"recall": share, "dist_comps": found.distances, "iterations": len(found.log), "iter_log": found.log, "time": spent, "mode": "random", "rate": 1.0, "rho": RHO}
     path = results.write_result(spark, run, f"{scratch_dir(spark)}/quern/results-{uuid.uuid4().hex}")
-    rows = results.read_result(spark, path).select("dist_comps", "iterations", "mode", "rate", F.explode("iter_log").alias("_e"))
-    return rows.select("dist_comps", "iterations", "mode", "rate", F.col("_e.iter").alias("iter"), F.col("_e.updates").alias("updates"), F.col("_e.dist").alias("dist"))
+    rows = results.read_result(spark, path).select(F.round("recall", 6).alias("recall"), "dist_comps", "iterations", "mode", "rate", F.explode("iter_log").alias("_e"))
+    return rows.select("recall", "dist_comps", "iterations", "mode", "rate", F.col("_e.iter").alias("iter"), F.col("_e.updates").alias("updates"), F.col("_e.dist").alias("dist"))
 
 
 HALF = {"rho": RHO, "k": K, "seed": SEED, "sample_rate": RATE}
@@ -201,10 +216,10 @@ QUERIES |= {
     "descent_benchmark_adaptive_r3": _on_run(lambda r: _rounded(r.graph(3, descent.Settings(candidates_weighted=True, **HALF)))),
     "descent_benchmark_random_r2": _on_run(lambda r: _rounded(r.graph(2, descent.Settings(**HALF)))),
     "recall_descent_vs_exact": _on_run(_recall),
-    "gen_uniform": lambda spark, sf_dir: _flat(generators.generate_uniform(spark, 500, 8, 2.0, 5.0, SEED)),
-    "gen_gaussian": lambda spark, sf_dir: _flat(generators.generate_gaussian(spark, 500, 8, 5.0, 2.0, SEED)),
-    "gen_high_hubness": lambda spark, sf_dir: _flat(generators.generate_high_hubness(spark, 500, 100, SEED)),
-    "gen_clustered": lambda spark, sf_dir: _flat(generators.generate_clustered(spark, 500, 8, 7, seed=SEED)),
+    "gen_uniform": _generated(lambda spark, n, ids: generators.generate_uniform(spark, n, 8, 2.0, 5.0, SEED, ids)),
+    "gen_gaussian": _generated(lambda spark, n, ids: generators.generate_gaussian(spark, n, 8, 5.0, 2.0, SEED, ids)),
+    "gen_high_hubness": _generated(lambda spark, n, ids: generators.generate_high_hubness(spark, n, 100, SEED, ids)),
+    "gen_clustered": _generated(lambda spark, n, ids: generators.generate_clustered(spark, n, 8, 7, seed=SEED, ids=ids)),
     "pair_distance_custom": _pairs(block_metric(_largest)),
     "new_neighbors": _on_run(lambda r: graph.neighbors(r.graph(1), True).select("p", "rank", "q")),
     "old_neighbors": _on_run(lambda r: graph.neighbors(r.graph(1), False).select("p", "rank", "q")),

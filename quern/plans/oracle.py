@@ -221,10 +221,10 @@ def build() -> dict[str, str]:
     out["new_neighbors"], out["old_neighbors"] = first().sql(flagged.format("is_new")), first().sql(flagged.format("NOT is_new"))
     out["source_frequency"] = tracked().sql("SELECT b.q AS v, b.p AS u, coalesce(s.freq, 0) AS freq FROM b1 b LEFT JOIN q1 s ON b.q = s.v AND b.p = s.u")
     out["topk_sources"] = tracked().sql("SELECT v, u, freq FROM (SELECT *, row_number() OVER (PARTITION BY v ORDER BY freq DESC, u) AS r FROM q1) WHERE r <= 5")
-    out["json_result"] = second().add("lg", """SELECT CAST(t AS INTEGER) AS iter, updates, dist FROM (
+    out["json_result"] = second().exact().add("lg", """SELECT CAST(t AS INTEGER) AS iter, updates, dist FROM (
   SELECT 1 AS t, (SELECT count(*) FROM b1 WHERE is_new) AS updates, (SELECT count(*) FROM c1) AS dist
   UNION ALL SELECT 2, (SELECT count(*) FROM b2 WHERE is_new), (SELECT count(*) FROM c2))""").sql(
-        "SELECT (SELECT CAST(sum(dist) AS BIGINT) FROM lg) AS dist_comps, 2 AS iterations, 'random' AS mode, CAST(1.0 AS DOUBLE) AS rate, iter, updates, dist FROM lg"
+        "SELECT (SELECT round(count(*) / (SELECT count(*) FROM ex), 6) FROM ex JOIN b2 USING (p, q)) AS recall, (SELECT CAST(sum(dist) AS BIGINT) FROM lg) AS dist_comps, 2 AS iterations, 'random' AS mode, CAST(1.0 AS DOUBLE) AS rate, iter, updates, dist FROM lg"
     )
     taken = " UNION ALL ".join(f"SELECT c.v, c.source AS u FROM c{t} c JOIN b{t} b ON b.p = c.v AND b.q = c.c WHERE b.is_new" for t in (1, 2))
     out["source_sketch"] = second().add("sk", f"SELECT v, u, count(*) AS freq FROM ({taken}) GROUP BY v, u").sql(
@@ -243,9 +243,9 @@ def build() -> dict[str, str]:
     for t in range(1, NET_ROUNDS + 1):
         net.net_round(t)
     out["descent_net_converged"] = net.until(NET_ROUNDS, few)
-    flat = "SELECT id, j, round({}, 6) AS x FROM range(500) a(id), range({}) b(j)"
-    out["gen_uniform"] = flat.format(f"2.0 + 3.0 * {uniform('uniform', 'id', 'j')}", 8)
-    out["gen_gaussian"] = flat.format(f"5.0 + 2.0 * {normal('gaussian', 'id', 'j')}", 8)
-    out["gen_high_hubness"] = flat.format(f"0.0 + 1.0 * {normal('gaussian', 'id', 'j')}", 100)
-    out["gen_clustered"] = flat.format(f"5.0 * {normal('centre', 'CAST(floor(id / 71) AS BIGINT)', 'j')} + 0.3 * {normal('around', 'id', 'j')}", 8)
+    flat = "SELECT vec_id AS id, j, round({}, 6) AS x FROM embeddings, range({}) b(j)"
+    out["gen_uniform"] = flat.format(f"2.0 + 3.0 * {uniform('uniform', 'vec_id', 'j')}", 8)
+    out["gen_gaussian"] = flat.format(f"5.0 + 2.0 * {normal('gaussian', 'vec_id', 'j')}", 8)
+    out["gen_high_hubness"] = flat.format(f"0.0 + 1.0 * {normal('gaussian', 'vec_id', 'j')}", 100)
+    out["gen_clustered"] = flat.format(f"5.0 * {normal('centre', 'CAST(floor(vec_id / (SELECT count(*) // 7 FROM embeddings)) AS BIGINT)', 'j')} + 0.3 * {normal('around', 'vec_id', 'j')}", 8)
     return out
