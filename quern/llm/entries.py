@@ -40,5 +40,6 @@ SQL = {
     "op6_line_dedup": line_dedup.SQL,
     "op7_mixing": mixing.SQL,
     "op9_url_filters": url_filters.SQL,
+    "op10_substring_dedup": substring_dedup.SQL,
     "op13_hard_negatives": hard_negatives.SQL,
 }

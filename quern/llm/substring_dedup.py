@@ -295,3 +295,32 @@ def removed(docs: DataFrame, span: int = SPAN, keep_text: bool = False, **sizes)
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: Every string of every text, counted by a 64-bit hash of its bytes in hex.
+SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS MATERIALIZED (
+  SELECT k, i, hash(substr(h, CAST(2 * i + 1 AS BIGINT), 800)) AS s FROM (SELECT k, h, unnest(range(0, len(h) // 2 - 399)) AS i FROM d WHERE len(h) >= 800)
+), r AS (
+  SELECT k, i FROM w WHERE s IN (SELECT s FROM w GROUP BY s HAVING count(*) > 1)
+), e AS (
+  SELECT k, i, CASE WHEN i <= lag(i) OVER p + 400 THEN 0 ELSE 1 END AS new FROM r WINDOW p AS (PARTITION BY k ORDER BY i)
+), g AS (
+  SELECT k, i, sum(new) OVER (PARTITION BY k ORDER BY i) AS run FROM e
+), c AS (
+  SELECT k, run, min(i) AS first, max(i) + 400 AS last FROM g GROUP BY k, run
+), o AS (
+  SELECT k, run, first, last, coalesce(lag(last) OVER (PARTITION BY k ORDER BY run), 0) AS before FROM c
+), t AS (
+  SELECT k, count(*) AS n_spans, sum(last - first) AS n_removed, max(last) AS after FROM c GROUP BY k
+), p AS (
+  SELECT o.k, string_agg(substr(d.h, CAST(2 * o.before + 1 AS BIGINT), CAST(2 * (o.first - o.before) AS BIGINT)), '' ORDER BY o.run) AS kept
+  FROM o JOIN d ON d.k = o.k GROUP BY o.k
+)
+SELECT d.doc_id, CAST(len(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(t.n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(t.n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN t.k IS NULL THEN d.h ELSE p.kept || substr(d.h, CAST(2 * t.after + 1 AS BIGINT)) END)) AS kept_sha256
+FROM d LEFT JOIN t ON t.k = d.k LEFT JOIN p ON p.k = d.k
+"""

@@ -39,9 +39,9 @@ def test_noisy_or_and_offending_sentences(spark):
     model = toxicity.fit([text(b) for b in y], y)
     frame = spark.createDataFrame([(1, text(1), 5), (2, text(0), 5), (3, "", 5), (4, None, 5), (5, "...\n!!", 5), (None, text(1), 5)], "doc_id long, text string, score int")
     got = {r.doc_id: r for r in toxicity.scored(frame, model).collect()}
-    assert got[1].score > 0.5 and got[None].score > 0.5 and got[2].score < 0.5 and got[3].score == got[4].score == got[5].score == 0
+    assert got[1]._score > 0.5 and got[None]._score > 0.5 and got[2]._score < 0.5 and got[3]._score == got[4]._score == got[5]._score == 0
     p = [1 / (1 + np.exp(-(model.bias + sum(toxicity._Weights(model.weights)[w] for w in s)))) for s in toxicity.sentences(got[1].text)[0]]
-    assert got[1].score == pytest.approx(1 - np.prod(1 - np.array(p)), abs=1e-9)
+    assert got[1]._score == pytest.approx(1 - np.prod(1 - np.array(p)), abs=1e-9)
     marked = toxicity.offending(frame, model).collect()
     assert {(r.doc_id, r.sentence) for r in marked} == {(1, 2), (None, 2)}
     assert all("grub" in r.text and frame.where(F.col("doc_id").eqNullSafe(F.lit(r.doc_id))).first().text[r.first : r.last] == r.text for r in marked)
@@ -92,3 +92,61 @@ def test_long_labelled_documents_are_learned_from(spark):
     ids = lambda chars: {r["_did"] for r in toxicity.sample(docs, labels, "toxic", F.lit(True), 10, chars).collect()}
     assert ids(30) == {1, 2, 4, 5}  # texts longer than 30, which a label's 300 characters hold
     assert ids(1) == {2, 5}  # a label's 10 characters pass the long texts over
+
+
+def test_training_where_the_texts_are_is_training_on_one_machine(spark):
+    """train() over several partitions gives fit()'s model."""
+    rng = np.random.default_rng(4)
+    words = [f"word{i}" for i in range(60)]
+    docs, labels = [], []
+    for i in range(240):
+        bad = i % 3 == 0
+        docs.append((i, ". ".join(" ".join(rng.choice(words, 5)) + (" grubling" if bad and k == 1 else "") for k in range(4))))
+        labels.append((i, int(bad)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    model = toxicity.train(frame, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    own = [(t, y) for (i, t), (_, y) in zip(docs, labels) if zlib.crc32(str(i).encode()) % 5 != 0]
+    want = toxicity.fit([t for t, _ in own], [y for _, y in own])
+    assert set(model.weights) == set(want.weights) and model.weights["grubling"] > 1
+    assert all(abs(model.weights[w] - want.weights[w]) < 1e-9 for w in want.weights) and abs(model.bias - want.bias) < 1e-9
+
+
+def test_word_vectors_and_pooling_written_out(spark):
+    """Each token's context one pair after the other, then means and spreads one word after the other."""
+    import re
+
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice(["tree", "river", "stone", "cloud", "!!", "42", "é"], rng.integers(0, 40))) for _ in range(30)] + [None, "", "one"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    places, signs = quality.index_vectors()
+    bucket = lambda w: zlib.crc32(w.encode()) % quality.BUCKETS
+
+    def index(w):
+        v = np.zeros(quality.DIM)
+        for p, s in zip(places[bucket(w)], signs[bucket(w)]):
+            v[p] += s
+        return v
+
+    sums, count = {}, {}
+    for t in texts:
+        tokens = re.findall(r"\w+|[^\w\s]+|\n", t or "")
+        for i, w in enumerate(tokens):
+            count[w] = count.get(w, 0) + 1
+            for j in range(max(0, i - quality.WINDOW), min(len(tokens), i + quality.WINDOW + 1)):
+                sums[w] = sums.get(w, np.zeros(quality.DIM)) + index(tokens[j])
+    table, weight = quality.word_vectors(frame)
+    total = sum(count.values())
+    for w, v in sums.items():
+        assert np.allclose(table[bucket(w)], v / np.linalg.norm(v), atol=1e-6)
+        assert weight[bucket(w)] == pytest.approx(quality.COMMON / (quality.COMMON + count[w] / total), rel=1e-5)
+    for r in quality.features(frame, table, weight).collect():
+        tokens = re.findall(r"\w+|[^\w\s]+|\n", texts[r.doc_id] or "")
+        want = np.zeros(2 * quality.DIM + 1)
+        if tokens:
+            share = np.array([float(weight[bucket(w)]) for w in tokens])
+            unit = np.array([table[bucket(w)] for w in tokens], float)
+            mean = (share[:, None] * unit).sum(0) / share.sum()
+            want[: quality.DIM] = mean
+            want[quality.DIM : -1] = np.sqrt(np.maximum(0, (share[:, None] * unit**2).sum(0) / share.sum() - mean**2))
+            want[-1] = np.log1p(len(tokens)) / 10
+        assert np.allclose(r.x, want, atol=2e-4)

@@ -205,4 +205,13 @@ def test_pipeline_keeps_one_of_each_group_where_ids_repeat(spark):
     rows = [(3, text("a")), (7, text("a", " more")), (7, text("b")), (7, text("c")), (7, text("c", " more")), (9, text("d")), (9, text("e")), (9, text("e")), (None, text("a"))]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     got = [(r.doc_id, r.text.split()[0]) for r in corpus_pipeline.keep_one_of_each_group(spark, frame, SF).collect()]
-    assert sorted(got, key=repr) == sorted([(3, "a0"), (7, "b0"), (7, "c0"), (9, "d0"), (9, "e0"), (None, "a0")], key=repr)
+    assert sorted(got, key=repr) == sorted([(3, "a0"), (7, "b0"), (7, "c0"), (9, "d0"), (9, "e0")], key=repr)
+
+
+def test_pipeline_compares_rows_without_an_id(spark):
+    """A row with an id comes before those without; of these one stays. Texts that are not alike all stay."""
+    text = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    rows = [(None, text("a")), (5, text("a") + " more"), *[(None, text("b"))] * 3, (None, text("b") + " more"), (None, text("c")), (None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text and r.text.split()[0]) for r in corpus_pipeline.keep_one_of_each_group(spark, frame, SF).collect()]
+    assert sorted(got, key=repr) == sorted([(5, "a0"), (None, "b0"), (None, "c0"), (None, None)], key=repr)

@@ -139,3 +139,15 @@ def test_query_at_its_size(spark, tmp_path):
         ends = np.cumsum([0, *[n for _, n in sorted(parts)]]).tolist()
         assert [o for o, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 1024
     assert len(bins) <= -(-least // 1024) + 1
+
+
+def test_copies_are_told_apart(spark, tmp_path):
+    """Equal rows have numbers of their own, so (row, piece) is one piece; their salts are many."""
+    rows = [(7, "same words " * 700)] * 40 + [(None, None)] * 300
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = packing.op4_packing(spark, str(tmp_path)).collect()
+    assert len({(r.row, r.piece) for r in got}) == len(got) and len({r.row for r in got}) == 340
+    by = defaultdict(set)
+    for r in got:
+        by[r.row].add(r.doc_id)
+    assert all(len(ids) == 1 for ids in by.values())

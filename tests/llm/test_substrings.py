@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -100,3 +101,15 @@ def test_a_phrase_of_most_documents_is_split(spark, monkeypatch, shard, split):
     got = substring_dedup.removed(frame, span=80, gram=16, shard=shard).collect()
     assert sorted(map(tuple, got), key=repr) == plain(rows, 80)
     assert bool(calls) == split
+
+
+def test_two_thousand_rows_of_one_id_and_text(spark):
+    """Equal rows cost what rows with ids of their own cost, and all lose the whole text."""
+    rng = random.Random(9)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(10_000))
+    frame = spark.createDataFrame([(None, text)] * 2_000 + [(1, text[:300]), (2, text[:450])], "doc_id long, text string").repartition(4)
+    substring_dedup.removed(frame.limit(2)).collect()
+    began = time.time()
+    got = substring_dedup.removed(frame).groupBy("doc_id", "n_bytes", "n_removed", "n_spans").count().collect()
+    assert time.time() - began < 20
+    assert sorted(map(tuple, got), key=repr) == sorted([(None, 10_000, 10_000, 1, 2_000), (1, 300, 0, 0, 1), (2, 450, 450, 1, 1)], key=repr)
