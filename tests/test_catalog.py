@@ -29,7 +29,7 @@ def rows(frame):
 @pytest.mark.parametrize(
     "name",
     ["knn_exact_l2", "knn_exact_cosine", "pair_distance_l1", "hubness_skew", "hub_damped_weights", "net_scores", "descent_naive_r2",
-     "pair_distance_custom", "new_neighbors", "old_neighbors", "source_frequency", "topk_sources", "source_sketch", "descent_net_converged", "json_result", "descent_naive_converged",
+     "pair_distance_custom", "new_neighbors", "old_neighbors", "source_frequency", "topk_sources", "source_sketch", "json_result", "descent_naive_converged",
      "descent_optimized_converged", "descent_adaptive_converged", "descent_adaptive_r3", "descent_benchmark_adaptive_r3", "recall_descent_vs_exact", "gen_clustered"],
 )
 def test_query_matches_sql(spark, folder, name):
