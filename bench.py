@@ -41,7 +41,8 @@ def main() -> None:
         truth = materialize(knn_exact(points, K, N), "truth")
 
     seconds["exact_10k_d128_k20"] = timed(exact)
-    for name, s in (("optimized_10k_d128_k20", descent.Settings(k=K, rho=0.8)),):
+    half = descent.Settings(k=K, rho=0.8, sample_rate=0.5, candidates_weighted=True)
+    for name, s in (("optimized_10k_d128_k20", descent.Settings(k=K, rho=0.8)), ("adaptive_50_10k_d128_k20", half)):
         result = None
 
         def run() -> None:
