@@ -17,7 +17,7 @@ from quern.sources import (
     read_npy,
 )
 
-__version__ = "0.2.0"
+__version__ = "0.3.0"
 __all__ = [
     "AdaptiveNNDescent", "KNNGraph", "KNNGraphEstimator", "KNNGraphModel", "NaiveNNDescent", "NetSourceTracker",
     "OptimizedNNDescent", "SourceFrequencyTracker", "block_metric", "cosine_distance", "euclidean_distance", "generate_clustered", "generate_gaussian", "generate_high_hubness",
