@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.functions.rng import race, uniform
+from quern.operators import tracking
 
 
 def naive_two_hop(edges: DataFrame) -> DataFrame:
@@ -46,10 +47,30 @@ def two_hop(edges: DataFrame, sampled: DataFrame) -> DataFrame:
 
 def fresh_candidates(edges: DataFrame, sampled: DataFrame) -> DataFrame:
     """candidates(two_hop(edges, sampled)) by one shuffle: present neighbours go into the grouping and drop what they meet."""
-    there = edges.select(F.col("p").alias("v"), F.col("q").alias("c"), F.lit(None).cast("bigint").alias("u"), F.lit(None).cast("boolean").alias("from_old"))
-    both = _paths(edges, sampled).unionByName(there).repartition("v")
-    own = both.groupBy("v", "c").agg(F.min(F.when(F.col("u").isNotNull(), F.struct("from_old", "u"))).alias("_f"), F.count(F.when(F.col("u").isNull(), 1)).alias("_there"))
-    return own.where("_there = 0").select("v", "c", F.col("_f.u").alias("source"))
+    return _grouped(edges, sampled.withColumn("_f", F.lit(0.0))).select("v", "c", "source")
+
+
+def weighted_candidates(edges: DataFrame, sampled: DataFrame, counts: DataFrame, degrees: DataFrame | None = None, k: int = 10) -> DataFrame:
+    """tracking.candidate_weights(two_hop(edges, sampled), ...) by one shuffle of the paths: their sources are weighed before they fan out."""
+    own = tracking.source_gains(sampled, counts, degrees, k)
+    return _grouped(edges, own).select("v", "c", "source", (F.lit(tracking.BASE) + F.lit(tracking.BOOST) * F.col("_f")).alias("weight"))
+
+
+def _grouped(edges: DataFrame, sampled: DataFrame) -> DataFrame:
+    """v, c, source, _f (summed over all ways) of fresh candidates. sampled: v, u, is_new, _f.
+
+    A way's source is sent to v with its list as an array, which is taken apart behind the shuffle.
+    """
+    lists = edges.groupBy(F.col("p").alias("u")).agg(F.collect_list("q").alias("cs"))
+    hop = sampled.where("is_new").groupBy(F.col("v").alias("u")).agg(F.collect_list("u").alias("cs"))
+    via_new = sampled.where("is_new").select("v", "u", "_f").join(lists, "u").select("v", "u", "_f", F.lit(False).alias("from_old"), "cs")
+    via_old = sampled.where("not is_new").select("v", "u", "_f").join(hop, "u").select("v", "u", "_f", F.lit(True).alias("from_old"), "cs")
+    there = lists.select(F.col("u").alias("v"), F.lit(None).cast("bigint").alias("u"), F.lit(0.0).alias("_f"), F.lit(None).cast("boolean").alias("from_old"), "cs")
+    both = via_new.unionByName(via_old).unionByName(there).repartition("v").select("v", "u", "_f", "from_old", F.explode("cs").alias("c")).where("c <> v")
+    own = both.groupBy("v", "c").agg(
+        F.min(F.when(F.col("u").isNotNull(), F.struct("from_old", "u"))).alias("_s"), F.count(F.when(F.col("u").isNull(), 1)).alias("_there"), F.sum("_f").alias("_f")
+    )
+    return own.where("_there = 0").select("v", "c", F.col("_s.u").alias("source"), "_f")
 
 
 def candidates(found: DataFrame) -> DataFrame:

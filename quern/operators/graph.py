@@ -17,6 +17,8 @@ from quern.operators.points import indexed, to_matrix
 #: Vectors are broadcast to the distance step up to so many bytes; beyond that they go to cells of two blocks of
 #: BLOCK_BYTES, each with CELL_PAIRS pairs, about.
 BROADCAST_BYTES, BLOCK_BYTES, CELL_PAIRS = 64_000_000, 64_000_000, 4_000_000
+#: Points at most whose farthest edges are broadcast, at 16 bytes each.
+REACH_POINTS = 2_000_000
 
 
 def draws(k: int) -> int:
@@ -71,7 +73,7 @@ class Distances:
     """Measures pairs; broadcasts the vectors where they are small enough, else sends them by blocks to the pairs."""
 
     def __init__(self, points: DataFrame, n: int, dim: int, distance="euclidean", most: int | None = None):
-        self.points, self.metric = points, as_metric(distance)
+        self.points, self.metric, self.n = points, as_metric(distance), n
         size, most = n * dim * 8, BROADCAST_BYTES if most is None else most
         self.matrix, self.blocks = None, max(1, math.ceil(size / BLOCK_BYTES))
         if n and size <= most:
@@ -118,6 +120,17 @@ def proposals(measured: DataFrame) -> DataFrame:
     return measured.select(F.explode(ways).alias("way"), "dist").select("way.p", "way.q", "dist")
 
 
+def within_reach(edges: DataFrame, proposed: DataFrame, k: int, n: int) -> DataFrame:
+    """The proposals that merge() can take: where p has k edges, those nearer than its farthest; any other loses to it.
+
+    The farthest are broadcast, so that the rest is not shuffled, for up to REACH_POINTS points; beyond that all go on.
+    """
+    if n > REACH_POINTS:
+        return proposed
+    far = edges.groupBy(F.col("p").alias("_p")).agg(F.when(F.count(F.lit(1)) >= k, F.max("dist")).alias("_far")).where("_far is not null")
+    return proposed.join(F.broadcast(far), F.col("p") == F.col("_p"), "left").where("_far is null or dist < _far").select("p", "q", "dist")
+
+
 def merge(edges: DataFrame, proposed: DataFrame, k: int) -> DataFrame:
     """Each p's k nearest of its edges and the proposals; an edge that is there wins a tie, then the smaller q.
 

@@ -57,6 +57,16 @@ def neighbor_weights(lists: DataFrame, counts: DataFrame, base: float = BASE, bo
     return own.select("v", "u", "is_new", (F.lit(base) + F.lit(boost) * F.coalesce("freq", F.lit(0))).alias("weight"))
 
 
+def source_gains(found: DataFrame, counts: DataFrame, degrees: DataFrame | None = None, k: int = 10) -> DataFrame:
+    """found (v, u, ...) with _f, the count of (v, u); with degrees less for a u in more than k lists."""
+    own = found.join(counts, ["v", "u"], "left").withColumn("_f", F.coalesce("freq", F.lit(0)).cast("double"))
+    if degrees is not None:
+        own = own.join(degrees.select(F.col("q").alias("u"), "degree"), "u", "left")
+        ratio = F.coalesce("degree", F.lit(k)) / F.lit(float(k))
+        own = own.withColumn("_f", F.when(ratio > 1, F.col("_f") / (ratio * ratio)).otherwise(F.col("_f")))
+    return own
+
+
 def candidate_weights(
     found: DataFrame, counts: DataFrame, degrees: DataFrame | None = None, k: int = 10, base: float = BASE, boost: float = BOOST
 ) -> DataFrame:
@@ -64,11 +74,7 @@ def candidate_weights(
 
     With degrees (q, degree) a source in more than k lists counts less, by the square of degree / k.
     """
-    own = found.join(counts, ["v", "u"], "left").withColumn("_f", F.coalesce("freq", F.lit(0)).cast("double"))
-    if degrees is not None:
-        own = own.join(degrees.select(F.col("q").alias("u"), "degree"), "u", "left")
-        ratio = F.coalesce("degree", F.lit(k)) / F.lit(float(k))
-        own = own.withColumn("_f", F.when(ratio > 1, F.col("_f") / (ratio * ratio)).otherwise(F.col("_f")))
+    own = source_gains(found, counts, degrees, k)
     order = F.struct("from_old", "u")
     agg = own.groupBy("v", "c").agg(F.min(order).alias("_s"), F.sum("_f").alias("_f"))
     return agg.select("v", "c", F.col("_s.u").alias("source"), (F.lit(base) + F.lit(boost) * F.col("_f")).alias("weight"))

@@ -7,6 +7,7 @@ depend on partitioning. A round is two plans, cut by written tables; its two cou
 from __future__ import annotations
 
 import json
+import math
 import time
 from dataclasses import dataclass, field, replace
 
@@ -67,15 +68,24 @@ class Result:
         return self.graph.sparkSession.createDataFrame(rows, "iter int, updates bigint, dist bigint, time double")
 
 
-def canonical(pairs: DataFrame) -> DataFrame:
-    """p < q, once each: a distance serves both directions and every v."""
-    return pairs.select(F.least("v", "c").alias("p"), F.greatest("v", "c").alias("q")).distinct()
+#: Pairs of a task, about, where they are made distinct and measured; up to FEW_TASKS of them Spark's own number of tasks does.
+TASK_PAIRS, FEW_TASKS = 1_000_000, 8
+
+
+def canonical(pairs: DataFrame, n_pairs: int = 0) -> DataFrame:
+    """p < q, once each: a distance serves both directions and every v. n_pairs: how many they are at most, where that is
+    known; beyond a few tasks' worth their number goes up with it, so that a task's memory does not."""
+    own = pairs.select(F.least("v", "c").alias("p"), F.greatest("v", "c").alias("q"))
+    tasks = math.ceil(n_pairs / TASK_PAIRS)
+    return (own.repartition(tasks, "p", "q") if tasks > FEW_TASKS else own).distinct()
 
 
 def naive_round(edges: DataFrame, k: int, distances: graph.Distances) -> tuple[DataFrame, DataFrame]:
     """(merged edges, paths looked at)."""
     found = cand.naive_two_hop(edges)
-    return graph.merge(edges, graph.proposals(distances(canonical(found))), k), found
+    paths = distances.n * k * k
+    measured = graph.proposals(distances(canonical(found, paths), paths))
+    return graph.merge(edges, graph.within_reach(edges, measured, k, distances.n), k), found
 
 
 def sampled_candidates(edges: DataFrame, counts: DataFrame | None, s: Settings, round_no: int) -> DataFrame:
@@ -90,7 +100,7 @@ def sampled_candidates(edges: DataFrame, counts: DataFrame | None, s: Settings,
     rate = 1.0 if s.tracked and warm and not s.warmup_sampled else s.sample_rate
     if s.candidates_weighted and not warm and rate < 1:
         degrees = graph_degrees(edges) if s.damp_hubs else None
-        own = tracking.candidate_weights(cand.two_hop(edges, sampled), counts, degrees, s.k)
+        own = cand.weighted_candidates(edges, sampled, counts, degrees, s.k)
         return cand.sample_candidates(own, rate, s.seed, round_no, F.col("weight")).drop("weight")
     return cand.sample_candidates(cand.fresh_candidates(edges, sampled), rate, s.seed, round_no)
 
@@ -100,8 +110,9 @@ def refine_round(
 ) -> tuple[DataFrame, DataFrame]:
     """(merged edges, evaluated candidates v, c, source, written, with their number in counts)."""
     cands = materialize(sampled_candidates(edges, counts, s, round_no), "candidates", n=F.count(F.lit(1)))
-    measured = distances(canonical(cands), cands.counts["n"])
-    return graph.merge(edges, graph.proposals(measured), s.k), cands
+    n_pairs = cands.counts["n"]
+    measured = graph.proposals(distances(canonical(cands, n_pairs), n_pairs))
+    return graph.merge(edges, graph.within_reach(edges, measured, s.k, distances.n), s.k), cands
 
 
 def graph_degrees(edges: DataFrame) -> DataFrame:
