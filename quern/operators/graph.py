@@ -131,15 +131,15 @@ def within_reach(edges: DataFrame, proposed: DataFrame, k: int, n: int) -> DataF
     return proposed.join(F.broadcast(far), F.col("p") == F.col("_p"), "left").where("_far is null or dist < _far").select("p", "q", "dist")
 
 
-def merge(edges: DataFrame, proposed: DataFrame, k: int) -> DataFrame:
+def merge(edges: DataFrame, proposed: DataFrame, k: int, tasks: int = 0) -> DataFrame:
     """Each p's k nearest of its edges and the proposals; an edge that is there wins a tie, then the smaller q.
 
     is_new tells what came in. A proposal that is an edge already, or a loop, changes nothing. One shuffle by p serves
-    the grouping by (p, q) and the ranking.
+    the grouping by (p, q) and the ranking. tasks: how many share the work, by default as many as Spark finds.
     """
     fresh = proposed.where("p <> q").select("p", "q", "dist", F.lit(True).alias("is_new"))
     both = mark_all_old(edges).select("p", "q", "dist", "is_new").unionByName(fresh)
-    own = both.repartition("p").groupBy("p", "q").agg(F.min("dist").alias("dist"), F.min("is_new").alias("is_new"))
+    own = (both.repartition(tasks, "p") if tasks else both.repartition("p")).groupBy("p", "q").agg(F.min("dist").alias("dist"), F.min("is_new").alias("is_new"))
     return top_k(own, k, "dist", "is_new", "q").select("p", "q", "dist", "is_new")
 
 

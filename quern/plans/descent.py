@@ -68,16 +68,21 @@ class Result:
         return self.graph.sparkSession.createDataFrame(rows, "iter int, updates bigint, dist bigint, time double")
 
 
-#: Pairs of a task, about, where they are made distinct and measured; up to FEW_TASKS of them Spark's own number of tasks does.
-TASK_PAIRS, FEW_TASKS = 1_000_000, 8
+#: Pairs of a task, about, where they are made distinct, measured and merged; up to FEW_TASKS tasks Spark's own number does.
+TASK_PAIRS, FEW_TASKS = 500_000, 8
+
+
+def task_count(n_pairs: int) -> int:
+    """Tasks for so many pairs, so that a task's memory doesn't grow with them; 0 where they are few or not counted."""
+    tasks = math.ceil(n_pairs / TASK_PAIRS)
+    return tasks if tasks > FEW_TASKS else 0
 
 
 def canonical(pairs: DataFrame, n_pairs: int = 0) -> DataFrame:
     """p < q, once each: a distance serves both directions and every v. n_pairs: how many they are at most, where that is
-    known; beyond a few tasks' worth their number goes up with it, so that a task's memory does not."""
-    own = pairs.select(F.least("v", "c").alias("p"), F.greatest("v", "c").alias("q"))
-    tasks = math.ceil(n_pairs / TASK_PAIRS)
-    return (own.repartition(tasks, "p", "q") if tasks > FEW_TASKS else own).distinct()
+    known."""
+    own, tasks = pairs.select(F.least("v", "c").alias("p"), F.greatest("v", "c").alias("q")), task_count(n_pairs)
+    return (own.repartition(tasks, "p", "q") if tasks else own).distinct()
 
 
 def naive_round(edges: DataFrame, k: int, distances: graph.Distances) -> tuple[DataFrame, DataFrame]:
@@ -85,7 +90,7 @@ def naive_round(edges: DataFrame, k: int, distances: graph.Distances) -> tuple[D
     found = cand.naive_two_hop(edges)
     paths = distances.n * k * k
     measured = graph.proposals(distances(canonical(found, paths), paths))
-    return graph.merge(edges, graph.within_reach(edges, measured, k, distances.n), k), found
+    return graph.merge(edges, graph.within_reach(edges, measured, k, distances.n), k, task_count(2 * paths)), found
 
 
 def sampled_candidates(edges: DataFrame, counts: DataFrame | None, s: Settings, round_no: int) -> DataFrame:
@@ -112,7 +117,7 @@ def refine_round(
     cands = materialize(sampled_candidates(edges, counts, s, round_no), "candidates", n=F.count(F.lit(1)))
     n_pairs = cands.counts["n"]
     measured = graph.proposals(distances(canonical(cands, n_pairs), n_pairs))
-    return graph.merge(edges, graph.within_reach(edges, measured, s.k, distances.n), s.k), cands
+    return graph.merge(edges, graph.within_reach(edges, measured, s.k, distances.n), s.k, task_count(2 * n_pairs)), cands
 
 
 def graph_degrees(edges: DataFrame) -> DataFrame:

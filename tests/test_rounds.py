@@ -49,3 +49,15 @@ def test_pairs_of_a_task_are_bounded(spark):
     many = descent.canonical(pairs, 40 * descent.TASK_PAIRS)
     assert many.rdd.getNumPartitions() == 40
     assert sorted(many.collect()) == sorted(descent.canonical(pairs).collect())
+
+
+def test_a_merge_has_tasks_by_its_pairs(spark, edges, monkeypatch):
+    """descent_naive_r2: all that was proposed went to Spark's own number of tasks before."""
+    seen, own = [], graph.merge
+    monkeypatch.setattr(graph, "merge", lambda e, proposed, k, tasks=0: seen.append(tasks) or own(e, proposed, k, tasks))
+    monkeypatch.setattr(descent, "TASK_PAIRS", 200)
+    points = materialize(generators.generate_clustered(spark, 90, 5, 4, seed=8).select("id", "vec"), "few")
+    after, _ = descent.naive_round(edges, 4, graph.Distances(points, 90, 5))
+    assert seen == [15]  # 2 * 90 * 4 * 4 proposals at most
+    monkeypatch.setattr(descent, "TASK_PAIRS", 500_000)
+    assert sorted(after.collect()) == sorted(descent.naive_round(edges, 4, graph.Distances(points, 90, 5))[0].collect())
