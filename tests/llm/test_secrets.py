@@ -167,3 +167,57 @@ def test_training_does_not_depend_on_partitions(spark, trained):
     docs = spark.createDataFrame(corpus(), "doc_id long, text string").coalesce(1)
     again = secrets.train(secrets.findings(docs.select("text")))
     assert np.array_equal(again.table, trained.table) and again.thresholds == trained.thresholds
+
+
+def test_every_window_is_learned_from_or_kept(spark, monkeypatch):
+    """At most 2,000 windows of a label, none over 1,000 characters, were before."""
+    texts = [f"see item{i:07d}x and more" for i in range(2_600)] + [f"token={i:08x}" + "x" * 1_500 * (i % 9 == 0) for i in range(2_300)] + ["see item0000001x and more"] * 9
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    found, seen = secrets.findings(docs), []
+    take = lambda frame: [(r.shard, w.window, w.label) for r in frame.collect() for w in r.windows]
+    monkeypatch.setattr(secrets, "SHARD", 100_000)
+    monkeypatch.setattr(secrets, "fit", lambda dealt, balance: seen.append((take(dealt), balance)))
+    monkeypatch.setattr(secrets, "calibrated", lambda kept, net, share: seen.append((take(kept), share)))
+    secrets.train(found)
+    (learned, balance), (kept, share) = seen
+    own = [(w, label) for _, w, label in learned + kept]
+    want = {(secrets.window(t, a, len(t)), 1) for t in texts if (a := t.find("=") + 1)} | {(secrets.window(t, 4, 16), 0) for t in texts if t[0] == "s"}
+    assert len(own) == len(want) == 4_900 and set(own) == want
+    assert len({s for s, _, _ in learned}) > 3 and 0.1 < len(kept) / len(own) < 0.3
+    ones = sum(label for _, _, label in learned)
+    assert np.allclose(balance, (0.5 * len(learned) / (len(learned) - ones), 0.5 * len(learned) / ones)) and share == 2_300 / 4_909
+
+
+def test_shards_do_not_depend_on_partitions(spark, monkeypatch):
+    """Several shards' networks are averaged alike, whatever task has them, and tell secrets as one's does."""
+    monkeypatch.setattr(secrets, "SHARD", 20_000)
+    nets = [secrets.train(secrets.findings(spark.createDataFrame(corpus(), "doc_id long, text string").repartition(n).select("text"))) for n in (1, 5)]
+    assert np.array_equal(nets[0].table, nets[1].table) and nets[0].thresholds == nets[1].thresholds
+    good, clean = [], []
+    for _, text in corpus(300, seed=9):
+        places = secrets.runs(text)
+        base = secrets.base_spans(text, places)
+        good += [secrets.window(text, s[3], s[2]) for s in base if s[1] == 0]
+        clean += [secrets.window(text, *p) for p in secrets.candidates(places, base)]
+    assert (nets[0].scores(good) >= nets[0].thresholds_of(good)).mean() >= 0.85
+    assert (nets[0].scores(clean) >= nets[0].thresholds_of(clean)).mean() <= 0.005
+
+
+def test_gradients_of_long_windows(monkeypatch):
+    """Candidates over SPAN were not learned from before."""
+    p = secrets._parts(secrets.begun()[: (len(secrets.begun()) - 1) // 3])
+    windows = [secrets.window(t, 3, len(t) - 2) for t in ("abc " + "hello1234" * 30 + " x", "zz9 password=1q2w3e4r!!", "k" * 90)]
+    y, weigh = np.array([1.0, 0.0, 1.0], np.float32), np.full(3, 0.3, np.float32)
+    whole = secrets._step(secrets.Network(*p), windows, y, weigh)
+    monkeypatch.setattr(secrets, "SPAN", 16)
+    for a, b in zip(whole, secrets._step(secrets.Network(*p), windows, y, weigh)):
+        assert np.allclose(a, b, rtol=1e-4, atol=1e-6)
+
+
+def test_ranks(spark):
+    x = np.random.default_rng(2).normal(0, 5, 500).astype(np.float32)
+    x[:50] = x[50:100]
+    keys = secrets.keys_of(x)
+    assert [secrets.logit_of(k) for k in sorted(keys.tolist())] == sorted(x.tolist())
+    own = spark.createDataFrame([(k,) for k in keys.tolist()], "key long")
+    assert [secrets.ranked(own, r) for r in (0, 25, 250, 499)] == [sorted(keys.tolist())[r] for r in (0, 25, 250, 499)]
