@@ -221,3 +221,10 @@ def test_ranks(spark):
     assert [secrets.logit_of(k) for k in sorted(keys.tolist())] == sorted(x.tolist())
     own = spark.createDataFrame([(k,) for k in keys.tolist()], "key long")
     assert [secrets.ranked(own, r) for r in (0, 25, 250, 499)] == [sorted(keys.tolist())[r] for r in (0, 25, 250, 499)]
+
+
+def test_long_findings_alone_are_learned_from(spark):
+    """There was no network before where all findings were over 1,000 characters."""
+    texts = [f"see item{i:07d}x and more" for i in range(300)] + [f"token={i:08x}" + "x9" * 800 for i in range(300)]
+    net = secrets.train(secrets.findings(spark.createDataFrame([(t,) for t in texts], "text string")))
+    assert net is not None
