@@ -46,7 +46,7 @@ def test_every_query_is_listed():
     assert set(catalog.QUERIES) <= set(sql)
 
 
-@pytest.mark.parametrize("name", ["descent_adaptive_converged", "descent_naive_converged"])
+@pytest.mark.parametrize("name", ["descent_adaptive_converged", "descent_naive_converged", "descent_optimized_converged"])
 def test_whole_descent_matches_sql_of_as_many_rounds(spark, monkeypatch, name):
     """The registered SQL spells out fewer rounds than the descent takes on this table; the descent may not end with it."""
     logs, own = [], descent.descend
